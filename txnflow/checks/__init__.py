@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from txnflow.checks import relational
+from txnflow.checks import models, relational, storage, streams
 from txnflow.checks.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational"]
+__all__ = ["ORACLES", "QUERIES", "models", "relational", "storage", "streams"]

@@ -117,5 +117,5 @@ def event_messages(events: DataFrame) -> DataFrame:
         F.lit("events").alias("topic"),
         F.expr("cast(event_id % 4 as int)").alias("partition"),
         F.expr("event_id div 4").alias("offset"),
-        F.col("ts").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
     )
