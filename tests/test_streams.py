@@ -1,0 +1,125 @@
+"""Streams fed in several batches, restarts, and the batch result on the same rows."""
+
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from txnflow.functions.messages import parse_transactions
+from txnflow.operators.enrich import enrich
+from txnflow.schemas import TOPIC, TRANSACTION_KEY
+from txnflow.sources.tables import load_table, rows_to_df
+from txnflow.sources.topics import read_topic
+from txnflow.streaming.queries import (
+    await_all, compact, keyed_view, read_named, read_routed, start_batches, start_named, start_routed, stop_all,
+)
+from txnflow.streaming.transactions import CardHolders, enrich_stream
+
+ONCE = {"availableNow": True}
+
+
+def message(spark, offset, **fields):
+    values = dict(cc_num="1", trans_num=f"t{offset}", trans_time="2023-01-05 12:34:56", category="food",
+                  merchant="m", amt="10.5", merch_lat="41", merch_long="-101")
+    values.update(fields)
+    body = spark.createDataFrame([values], ", ".join(f"{k} string" for k in values)).select(
+        F.to_json(F.struct(*values))).first()[0]
+    return raw_message(offset, body)
+
+
+def raw_message(offset, body):
+    return (None, bytearray(body.encode()), "t", 0, offset, datetime.datetime(2023, 1, 1, 0, offset))
+
+
+@pytest.fixture
+def topic(spark, tmp_path):
+    """Appends messages, one file per call."""
+    path = str(tmp_path / "topic")
+
+    def send(*messages):
+        rows_to_df(spark, list(messages), TOPIC).coalesce(1).write.mode("append").parquet(path)
+
+    send.path = path
+    return send
+
+
+def stream_of(spark, topic):
+    return read_topic(spark, "parquet", path=topic.path, maxFilesPerTrigger=1)
+
+
+def test_batches_routed_restarted_and_folded(spark, customers, topic, tmp_path, as_of):
+    out = str(tmp_path / "out")
+    topic(message(spark, 1), message(spark, 2, cc_num="2", amt="99"), raw_message(3, "not json"))
+    topic(message(spark, 4, amt="q"), message(spark, 5, trans_num="a"), message(spark, 6, cc_num="unknown"))
+
+    def run():
+        with CardHolders(customers) as holders:
+            rows = enrich_stream(stream_of(spark, topic), holders, as_of)
+            rows = rows.withColumn("is_fraud", F.when(F.col("amt") > 50, 1.0).when(F.col("amt").isNotNull(), 3.0))
+            query = start_routed(rows, out, **ONCE)
+            query.awaitTermination()
+        return query, read_routed(spark, out, rows.schema.add("batch_id", "long").add("route", "string"))
+
+    query, stored = run()
+    intake = [p["observedMetrics"]["intake"] for p in query.recentProgress if p["numInputRows"]]
+    assert sorted((i["messages"], i["no_card"], i["no_amount"]) for i in intake) == [(3, 0, 1), (3, 1, 1)]
+    # The label of t4 is NULL, so it has no route; label 3 counts as the negative one.
+    assert {(r["batch_id"], r["route"], r["trans_num"]) for r in stored.collect()} == {
+        (0, "non_fraud", "t1"), (0, "fraud", "t2"), (1, "non_fraud", "a")}
+    # Equal key: the later batch wins, although its transaction number is the smaller.
+    assert {r["trans_num"] for r in keyed_view(stored).collect()} == {"t2", "a"}
+
+    # Nothing new: nothing is read again. Something new: only that is added.
+    assert run()[1].count() == 3
+    topic(message(spark, 7, trans_time="2023-01-06 00:00:00"))
+    _, stored = run()
+    assert stored.where("batch_id = 2").count() == 1 and stored.count() == 4
+    compact(stored, str(tmp_path / "folded"))
+    folded = load_table(spark, path=str(tmp_path / "folded"))
+    assert {r["trans_num"] for r in folded.collect()} == {"t2", "a", "t7"} and "batch_id" not in folded.columns
+
+
+def test_a_repeated_batch_replaces_itself(spark, topic, tmp_path):
+    seen, out = [], str(tmp_path / "out")
+    topic(message(spark, 1), message(spark, 2))
+
+    def write_and_fail_once(batch, batch_id):
+        batch.select("offset").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        seen.append(batch_id)
+        if len(seen) == 1:
+            raise RuntimeError("lost after writing")
+
+    for _ in range(2):
+        query = start_batches(stream_of(spark, topic), write_and_fail_once, str(tmp_path / "cp"), **ONCE)
+        try:
+            query.awaitTermination()
+        except Exception:
+            pass
+    assert seen == [0, 0]
+    assert spark.read.parquet(out).count() == 2
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_stream_equals_batch(spark, customers, topic, tmp_path, as_of, limit):
+    for k in range(3):
+        topic(*[message(spark, 10 * k + i, cc_num=str(i % 3), amt=str(i)) for i in range(4)])
+    with CardHolders(customers, broadcast_limit=limit) as holders:
+        stream = enrich_stream(stream_of(spark, topic), holders, as_of)
+        start_named(stream, "enriched_rows", str(tmp_path / "rows"), watermark=None, **ONCE).awaitTermination()
+    batch = enrich(parse_transactions(spark.read.parquet(topic.path)), customers, as_of)
+    streamed = read_named(spark, "enriched_rows", str(tmp_path / "rows"))
+    assert streamed.count() == batch.count() == 6
+    assert streamed.select(*batch.columns).exceptAll(batch).count() == 0
+    assert spark.sql("select count(*) from enriched_rows").first()[0] == 6
+    assert set(TRANSACTION_KEY) <= set(streamed.columns)
+
+
+def test_memory_sink_and_query_control(spark, topic):
+    topic(message(spark, 1), message(spark, 2))
+    query = start_named(stream_of(spark, topic), "in_memory")
+    query.processAllAvailable()
+    newest = spark.sql("select * from in_memory order by timestamp desc").limit(1).first()
+    assert newest["offset"] == 2
+    assert query.isActive and await_all(spark, 0.1) is False
+    stop_all(spark)
+    assert not query.isActive and not spark.streams.active and await_all(spark) is True
