@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from txnflow.checks.registry import AS_OF, query, with_enriched, with_parts
-from txnflow.checks.relational import FRACTION_SQL, enriched
+from txnflow.checks.relational import FRACTION_SQL, enriched as derived
 from txnflow.checks.tables import TIME, customers, transaction_messages
 from txnflow.operators.features import fit_features, frequency_index
 from txnflow.operators.forest import load_model, save_model, score, train_forest as fit_forest
@@ -25,6 +25,11 @@ from txnflow.workspace import materialize, scratch_path
 _models: dict[tuple[str, str], str] = {}
 
 
+def enriched(spark, sf_dir):
+    """Enriched transactions as a stored table: training passes over them several times."""
+    return materialize(derived(spark, sf_dir), "transaction")
+
+
 def _model(spark, sf_dir):
     """(features, forest), trained on the train rows and loaded from storage."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -62,7 +67,7 @@ def _position_sql(column):
 , counted as (select merchant, count(*) as n from enriched group by merchant)
 select merchant, n, row_number() over (order by n desc, merchant) - 1 as position from counted"""))
 def category_index(spark, sf_dir):
-    return frequency_index(enriched(spark, sf_dir).select("merchant"), "merchant")
+    return frequency_index(derived(spark, sf_dir).select("merchant"), "merchant")
 
 
 FEATURE_SQL = ", ".join(
@@ -156,7 +161,7 @@ def model_roundtrip(spark, sf_dir):
 def train_classifier(spark, sf_dir):
     """The training job from a stored table: sizes of the train set and weighted F1 on the test set."""
     table = scratch_path(spark, "transaction")
-    save_table(enriched(spark, sf_dir), path=table)
+    save_table(derived(spark, sf_dir), path=table)
     trained = run_training(spark, table, scratch_path(spark, "model"))
     return spark.createDataFrame(
         [(trained.train_fraud, trained.train_non_fraud, trained.weighted_f1)],
@@ -175,7 +180,7 @@ def stream_score(spark, sf_dir):
         stream = score_stream(messages, holders, features, forest, AS_OF, TIME)
         start_named(stream, "scored", path, watermark=None, availableNow=True).awaitTermination()
     streamed = spark.read.parquet(path).withColumnRenamed(LABEL, "prediction")
-    batch = score(enriched(spark, sf_dir).drop(LABEL), features, forest)
+    batch = score(derived(spark, sf_dir).drop(LABEL), features, forest)
     rows = streamed.withColumn("streamed", F.lit(1)).unionByName(batch.withColumn("streamed", F.lit(-1)))
     # Every row must occur as often in one as in the other.
     balance = rows.groupBy(*batch.columns).agg(

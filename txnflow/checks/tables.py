@@ -25,6 +25,16 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes from fewer files than there are cores.
+
+    A small test table is one file of one row group, which keeps a single core busy. Tables of many files are
+    left as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def _thousandths(start: int, number: str, factor: int, span: int):
     return F.expr(f"{start} + ({number} * {factor} % {span}) / cast(1000 as double)")
 
@@ -76,15 +86,17 @@ def transactions(spark: SparkSession, sf_dir: str, columns=RAW, lines: DataFrame
 
     ``lines`` may bring the line items as a stream.
     """
-    rows = table(spark, sf_dir, "lineitem") if lines is None else lines
-    for name, made, left, right in [
+    made = {**_FROM_LINEITEM, **_FROM_ORDERS, **_FROM_PART, **_FROM_SUPPLIER}
+    needed = [(name, left, right) for name, provided, left, right in [
         ("orders", _FROM_ORDERS, "l_orderkey", "o_orderkey"),
         ("part", _FROM_PART, "l_partkey", "p_partkey"),
         ("supplier", _FROM_SUPPLIER, "l_suppkey", "s_suppkey"),
-    ]:
-        if any(c in made for c in columns):
-            rows = rows.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
-    made = {**_FROM_LINEITEM, **_FROM_ORDERS, **_FROM_PART, **_FROM_SUPPLIER}
+    ] if any(c in provided for c in columns)]
+    rows = table(spark, sf_dir, "lineitem") if lines is None else lines
+    if lines is None and needed:
+        rows = spread(rows)
+    for name, left, right in needed:
+        rows = rows.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
     return rows.select(*[F.expr(made[c]).alias(c) for c in columns])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 def date_prefix(column: str | Column) -> Column:
     """The part of an ISO timestamp text before its ``T``."""
-    return F.split_part(F.col(column) if isinstance(column, str) else column, F.lit("T"), F.lit(1))
+    return F.substring_index(column, "T", 1)
 
 
 def parse_time(text: Column, time_type: str = "timestamp") -> Column:
