@@ -17,11 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a stream, be it one file or a folder of files."""
+    """A test table as a stream, be it one file, spread over all cores, or a folder of files."""
     path = f"{sf_dir}/{name}.parquet"
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 100)
     if os.path.isfile(path):
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        return rows.repartition(spark.sparkContext.defaultParallelism)
     return reader.parquet(path)
 
 
