@@ -117,8 +117,8 @@ def import_from_csv(spark, sf_dir):
     """The import job from CSV files to stored tables."""
     output = scratch_path(spark, "imported")
     run_import(spark, _write_csv(raw_transactions(spark, sf_dir), "transactions-csv"),
-               _write_csv(customers(spark, sf_dir), "customers-csv"), output, AS_OF)
-    return load_table(spark, path=f"{output}/transaction").withColumn("trans_time", F.col("trans_time").cast(TIME))
+               _write_csv(customers(spark, sf_dir), "customers-csv"), output, AS_OF, TIME)
+    return load_table(spark, path=f"{output}/transaction")
 
 
 @query(with_enriched("""

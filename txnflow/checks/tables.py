@@ -112,7 +112,6 @@ def transaction_messages(spark: SparkSession, sf_dir: str, stream: bool = False)
     lines = stream_table(spark, sf_dir, "lineitem") if stream else None
     rows = timed_transactions(spark, sf_dir, lines).withColumns({
         "first": F.concat(F.lit("holder "), "cc_num"), "last": F.lit("of card"),
-        "trans_time": F.date_format("trans_time", "yyyy-MM-dd HH:mm:ss"),
     })
     return rows.select(
         F.col("cc_num").cast("binary").alias("key"),

@@ -48,7 +48,7 @@ class ImportCounts:
 
 
 def run_import(spark: SparkSession, transactions_path: str, customers_path: str, output: str,
-               as_of=None) -> ImportCounts:
+               as_of=None, time_type: str = "timestamp") -> ImportCounts:
     """CSV files to the tables ``customer`` and ``transaction`` (partitioned by route) below ``output``."""
     customers = read_csv(spark, customers_path, CUSTOMER)
     transactions = read_csv(spark, transactions_path, LABELLED_TRANSACTION)
@@ -56,5 +56,6 @@ def run_import(spark: SparkSession, transactions_path: str, customers_path: str,
     others = [c for c in customers.columns if c not in CUSTOMER_KEY]
     save_table(latest_by_key(customers, CUSTOMER_KEY, others), path=f"{output}/customer")
     counts = Observation("import")
-    save_routes(import_transactions(transactions, customers, as_of, counts=counts), path=f"{output}/transaction")
+    rows = import_transactions(transactions, customers, as_of, time_type, counts)
+    save_routes(rows, path=f"{output}/transaction")
     return ImportCounts(**counts.get)
