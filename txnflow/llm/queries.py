@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnflow.llm import decontamination, language_id, ngram_join, packing, pii, token_counts
+from txnflow.llm import decontamination, language_id, ngram_join, packing, pii, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by rank-order profiles."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+@query(quality_rules.ORACLE_SQL)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document measured and judged by the threshold table."""
+    return quality_rules.judged(_table(spark, sf_dir, "documents"))
