@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from txnflow.llm.tokens import WORD_BPE, PieceTokenizer
+from txnflow.llm.tokens import WORD_BPE, shared
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID, tiers
     fields = "start length ids_crc32 doc_tokens sequence_id offset window step_group".split()
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, steps = PieceTokenizer(tokenizer), Packer(tiers), Steps(step_tokens)
+        encoder, packer, steps = shared(tokenizer), Packer(tiers), Steps(step_tokens)
         first_id = TaskContext.get().partitionId() * _IDS_PER_TASK
         ids: dict[int, np.ndarray] = {}
         keys: dict[int, pa.Scalar] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnflow.llm.rows import map_texts
-from txnflow.llm.tokens import WORD_BPE, PieceTokenizer
+from txnflow.llm.tokens import WORD_BPE, shared
 
 #: Lengths that one task sums at once.
 RANGE = 4096
@@ -20,11 +20,8 @@ RANGE = 4096
 def histogram(docs: DataFrame, text: str = "text", tokenizer: str = WORD_BPE) -> DataFrame:
     """length, n_docs: documents are counted by length in their own task, then over all."""
     def made(texts: list[str | None]) -> Iterator:
-        if not held:
-            held.append(PieceTokenizer(tokenizer))
-        yield None, {"length": held[0].lengths(texts)}
+        yield None, {"length": shared(tokenizer).lengths(texts)}
 
-    held: list[PieceTokenizer] = []
     lengths = map_texts(docs, text, made, {"length": "bigint"}, keep=docs.columns[:1])
     return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
 

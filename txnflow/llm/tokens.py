@@ -9,6 +9,7 @@ scripts, characters whose lower case isn't one character, special tokens spelt o
 
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +23,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Code points below this take the array path; beyond, class and case come from the tokenizer itself.
 _PLAIN = 0x2000
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-#: Pieces kept between batches by one task.
+#: Pieces kept between batches, and between the tasks of one Python worker.
 CACHE_PIECES = 1 << 20
 
 
@@ -44,7 +45,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceTokenizer:
-    """Encodes texts with the tokenizer file ``path``. One per task; it keeps a bounded table of pieces."""
+    """Encodes texts with the tokenizer file ``path``, keeping a bounded table of pieces; ``shared`` gives a worker's own."""
 
     _kinds, _lower = _tables()
 
@@ -55,7 +56,7 @@ class PieceTokenizer:
 
     def _forget(self) -> None:
         self._hashes = np.zeros(0, np.uint64)
-        self._starts, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._starts, self._counts = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self._pool = np.zeros(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -87,9 +88,9 @@ class PieceTokenizer:
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        counts = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((x for one in ids for x in one), np.uint32, int(counts.sum()))
-        starts = len(self._pool) + np.cumsum(counts) - counts
+        starts = (len(self._pool) + np.cumsum(counts) - counts).astype(np.int32)
         order = np.argsort(all_hashes := np.concatenate([self._hashes, hashes]), kind="stable")
         self._hashes = all_hashes[order]
         self._starts = np.concatenate([self._starts, starts])[order]
@@ -145,3 +146,9 @@ class PieceTokenizer:
         """The number of ids of each text."""
         return [int(len(ids) if ids is not None else self._counts[places].sum())
                 for block in self._blocks(texts) for _, ids, places in self._find(block)]
+
+
+@cache
+def shared(path: str = WORD_BPE) -> PieceTokenizer:
+    """One tokenizer for each file and Python worker, so that a later task finds the pieces of earlier ones."""
+    return PieceTokenizer(path)
