@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnflow.llm import decontamination, language_id, ngram_join, packing, pii, quality_rules, token_counts
+from txnflow.llm import decontamination, html_template, language_id, ngram_join, packing, pii, quality_rules, suffix_array, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document measured and judged by the threshold table."""
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that documents repeat, by a sparse suffix array."""
+    return suffix_array.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by template deduction."""
+    return html_template.extract(_table(spark, sf_dir, "pages"))
