@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnflow.llm import decontamination, html_template, language_id, ngram_join, packing, pii, quality_rules, suffix_array, token_counts
+from txnflow.llm import decontamination, html_template, language_id, ngram_join, packing, pii, quality_rules, quotes, suffix_array, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page, by template deduction."""
     return html_template.extract(_table(spark, sf_dir, "pages"))
+
+
+@query(quotes.ORACLE_SQL)
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, linked to the message it answers."""
+    return quotes.in_reply_order(quotes.linked(_table(spark, sf_dir, "conversations")))
