@@ -141,3 +141,65 @@ def length_sums(lengths):
         out.append((n, lengths.count(n), len(at_least), sum(at_least), len(lengths) - len(at_least),
                     sum(min(x, n) for x in lengths), len(lengths), sum(lengths)))
     return out
+
+
+def repeated_spans(docs, length=50):
+    """Rows of (doc_id, start, end, n_words, n_removable)."""
+    words = {i: [(m[0], *m.span()) for m in re.finditer(SPACES, t or "")] for i, t in docs}
+    places = {}
+    for i in sorted(words):
+        for s in range(len(words[i]) - length + 1):
+            places.setdefault(tuple(w for w, _, _ in words[i][s:s + length]), []).append((i, s))
+    covered, again = {}, {}
+    for found in places.values():
+        for n, (i, s) in enumerate(found if len(found) > 1 else []):
+            covered.setdefault(i, set()).update(range(s, s + length))
+            again.setdefault(i, set()).update(range(s, s + length) if n else [])
+    out = []
+    for i, at in covered.items():
+        for s in sorted(x for x in at if x - 1 not in at):
+            e = s
+            while e in at:
+                e += 1
+            out.append((i, words[i][s][1], words[i][e - 1][2], e - s, len([x for x in again[i] if s <= x < e])))
+    return sorted(out)
+
+
+def gram_counts(text):
+    """n-grams of one to three characters of the letters-only, lower-case text."""
+    line, last = " ", True
+    for c in text or "":
+        if c.isalpha():
+            line += c.lower() if len(c.lower()) == 1 else c
+            last = False
+        elif not last:
+            line += " "
+            last = True
+    if not last:
+        line += " "
+    if line == " ":
+        return Counter()
+    out = Counter(c for c in line if c != " ")
+    out.update(line[i:i + 2] for i in range(len(line) - 1))
+    out.update(line[i:i + 3] for i in range(len(line) - 2) if line[i + 1] != " ")
+    return out
+
+
+def ranked(counts, places=300):
+    code = lambda g: tuple(map(ord, g))
+    number = lambda g: sum(c << (21 * k) for k, c in enumerate(reversed(code(g))))
+    return sorted(counts, key=lambda g: (-counts[g], number(g)))[:places]
+
+
+def language(text, profiles, places=300):
+    """(language, score) by out-of-place distance to ranked lists by language."""
+    own = ranked(gram_counts(text), places)
+    if not own or not profiles:
+        return "und", 0.0
+    best = None
+    for name in sorted(profiles):
+        place = {g: r for r, g in enumerate(profiles[name])}
+        distance = sum(abs(place[g] - r) if g in place else places for r, g in enumerate(own))
+        if best is None or distance < best[0]:
+            best = (distance, name)
+    return best[1], 1 - best[0] / (len(own) * places)

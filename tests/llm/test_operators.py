@@ -1,0 +1,417 @@
+"""Every operator against a plain version, on edge rows and on the smallest tables."""
+
+import random
+import re
+import zlib
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from txnflow.llm import (decontamination, html_template, language_id, ngram_join, packing, pii, quality_rules, quotes, suffix_array,
+                         token_counts, tokens)
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return [tuple(r) for r in documents.select("doc_id", "text").collect()]
+
+
+def pairs(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+# 1: repeated passages
+
+SPANS = ("doc_id", "start", "end", "n_words", "n_removable")
+
+
+def test_spans_equal_brute_force(documents, texts):
+    assert rows_of(suffix_array.repeated_spans(documents), *SPANS) == sorted(brute.repeated_spans(texts), key=repr)
+
+
+def test_spans_of_edges(edges, edge_rows, no_rows):
+    assert rows_of(suffix_array.repeated_spans(edges), *SPANS) == sorted(brute.repeated_spans(pairs(edge_rows)), key=repr)
+    assert suffix_array.repeated_spans(no_rows).count() == 0
+
+
+@pytest.mark.parametrize("length,stretch", [(6, 2), (12, 8), (20, 5)])
+def test_spans_of_random_texts(spark, length, stretch):
+    rnd = random.Random(length)
+    docs = [(i, " ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 90)))) for i in range(40)]
+    found = suffix_array.repeated_spans(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), length, stretch)
+    assert rows_of(found, *SPANS) == sorted(brute.repeated_spans(docs, length), key=repr)
+
+
+def test_neighbours_across_partitions(spark):
+    rows = [(7, i) for i in range(5000)] + [(i, 0) for i in range(100, 3000)] + [(3, 1), (3, 2)]
+    df = spark.createDataFrame(rows, "key bigint, place bigint").repartition(16)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = suffix_array.equal_neighbours(df, "t").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted((r.key, r.place) for r in found) == sorted([(7, i) for i in range(5000)] + [(3, 1), (3, 2)])
+    assert sorted((r.key, r.place) for r in found if r.first) == [(3, 1), (7, 0)]
+
+
+# 2: personal data
+
+def test_spans_equal_the_patterns(edges, edge_rows, documents, texts, no_rows):
+    for df, rows in ((edges, pairs(edge_rows)), (documents, texts)):
+        found = {r.doc_id: tuple(r)[1:6] for r in pii.digest(df).collect()}
+        assert found == {i: brute.pii_digest(t) for i, t in rows}
+    assert pii.digest(no_rows).count() == 0
+
+
+def test_spans_equal_the_patterns_on_random_texts():
+    rnd = random.Random(5)
+    bits = ["1", "23", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "4111 1111 1111 1111", "9", "0", "255", "256", "com", "_", "%", "é",
+            "http://u:p@h.x", "iban GB82WEST12345698765432", "٣", "\n", "+1", "1.2.3.4"]
+    for _ in range(20000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))
+        assert [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute.base_spans(text), text
+
+
+def test_added_kinds_need_a_cue_and_hold():
+    text = "IBAN: GB82 WEST 1234 5698 7654 32, iban GB82WEST12345698765433, account no. 12345678, at 12345678, ftp://joe:x@host/a"
+    assert [(k, text[s:e]) for k, s, e in pii.find_spans(text)] == [
+        ("login", "joe:x"), ("account", "GB82 WEST 1234 5698 7654 32"), ("account", "12345678")]
+
+
+def test_redaction_keeps_columns(edges, edge_rows, doubled):
+    done = pii.redact(edges)
+    assert done.columns == edges.columns
+    by_id = {r.doc_id: r for r in done.collect()}
+    assert by_id[15].text.startswith("mail <EMAIL>, <PHONE>, <CARD> and <IP> ")
+    assert by_id[0].text is None and by_id[15].n_chars == len(by_id[15].text) and by_id[3].row == "r3"
+    assert pii.redact(doubled).count() == 2 * len(edge_rows)
+
+
+# 3: n-gram join
+
+LINKS = ("doc_id", "n_shingles", "component_id")
+
+
+@pytest.mark.parametrize("rare,block", [(ngram_join.RARE, ngram_join.BLOCK), (2, 3)])
+def test_components_equal_brute_force(edges, edge_rows, documents, texts, rare, block):
+    for df, rows in ((edges, pairs(edge_rows)), (documents, texts)):
+        expected = sorted(((i, *v) for i, v in brute.ngram_links(rows).items()), key=repr)
+        assert rows_of(ngram_join.link(df, rare=rare, block=block), *LINKS) == expected
+
+
+def test_components_of_many_near_copies(spark):
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(60)] = f"x{rnd.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    expected = sorted(((i, *v) for i, v in brute.ngram_links(docs).items()), key=repr)
+    found = ngram_join.link(spark.createDataFrame(docs, "doc_id bigint, text string"), rare=16, block=20)
+    assert rows_of(found, *LINKS) == expected
+
+
+def test_prefix_tree_equals_all_pairs():
+    import numpy as np
+
+    rnd = random.Random(4)
+    for percent in (50, 85, 100):
+        sets = [np.array(sorted(rnd.sample(range(30), rnd.randint(1, 25)))) for _ in range(60)]
+        sets += sets[:5]
+        tree = ngram_join.PrefixTree(sets)
+        for query in sets:
+            common = [len(set(query) & set(s)) for s in sets]
+            expected = [k for k, (s, c) in enumerate(zip(sets, common)) if 100 * c >= percent * (len(s) + len(query) - c)]
+            assert sorted(tree.search(query, percent, 30)) == expected
+
+
+def test_one_of_each_component_stays(edges, edge_rows, no_rows, doubled):
+    groups = brute.ngram_links(pairs(edge_rows))
+    kept = ngram_join.one_of_each(edges)
+    assert kept.columns == edges.columns
+    assert rows_of(kept, "doc_id") == sorted(((i,) for i, (_, c) in groups.items() if i == c), key=repr)
+    assert ngram_join.one_of_each(no_rows).count() == 0
+    expected = sorted(((i, *v) for i, v in groups.items()), key=repr)
+    assert sorted(set(rows_of(ngram_join.link(doubled), *LINKS)), key=repr) == expected
+
+
+# 4 and 6: tokens
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(tokens.WORD_BPE)
+
+
+def test_ids_equal_those_of_the_tokenizer(tokenizer, edge_rows, texts):
+    mine = tokens.PieceTokenizer()
+    plain = [t or "" for _, t in [*pairs(edge_rows), *texts]]
+    assert [x.tolist() for x in mine.encode(plain)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in plain]
+    assert mine.lengths(plain) == [len(x) for x in mine.encode(plain)]
+    rnd = random.Random(1)
+    bits = ["'s", "'", "re", "'ll", "don't", "İ", "Σ", "é", "é", " ", " ", "\n", " ", "1", "½", "x", "A", "ß", "<|endoftext|>", "<|",
+            "漢字", "🎉", "_", "-", "\x1c", "\x85", "ǅ", "Ⅷ", "ͅ", "’t", "﻿", "\x00"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))
+        assert next(mine.encode([text])).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_every_plain_character_is_cut_as_the_tokenizer_does(tokenizer):
+    mine = tokens.PieceTokenizer()
+    cases = [f"a{chr(i)}b'{chr(i)}s" for i in range(0x2000)]
+    expected = [e.ids for e in tokenizer.encode_batch(cases, add_special_tokens=False)]
+    assert [x.tolist() for x in mine.encode(cases)] == expected
+
+
+def test_a_full_table_of_pieces_is_begun_anew(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    mine = tokens.PieceTokenizer()
+    for text in ("a b c d e", "f g a", "", "a b"):
+        assert next(mine.encode([text])).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_length_sums(edges, edge_rows, no_rows, documents, texts, tokenizer):
+    for df, rows in ((edges, pairs(edge_rows)), (documents, texts)):
+        lengths = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+        histogram = token_counts.histogram(df)
+        for width in (token_counts.RANGE, 7):
+            sums = token_counts.suffix_sums(histogram, width)
+            assert sorted(map(tuple, sums.collect())) == brute.length_sums(lengths)
+        limits = [0, 1, 10, 500, 10**6]
+        assert [tuple(r) for r in token_counts.truncated_totals(sums, limits).collect()] == [
+            (n, sum(x > n for x in lengths), sum(min(x, n) for x in lengths)) for n in limits]
+        for r in token_counts.quantiles(sums, [0.0, 0.5, 0.9, 1.0]).collect():
+            assert r.length == min(n for n in lengths if sum(x <= n for x in lengths) >= r.share * len(lengths))
+    empty = token_counts.suffix_sums(token_counts.histogram(no_rows))
+    assert empty.count() == 0
+    assert [tuple(r) for r in token_counts.truncated_totals(empty, [5]).collect()] == [(5, 0, 0)]
+
+
+@pytest.mark.parametrize("block", [packing.BLOCK_TOKENS, 3000])
+def test_packing_is_whole_and_unpadded(edges, edge_rows, documents, texts, tokenizer, block):
+    for df, rows in ((edges, pairs(edge_rows)), (documents, texts)):
+        pieces = [r.asDict() for r in packing.pack(df.repartition(3), block_tokens=block).collect()]
+        assert brute.check_packing(rows, pieces, tokenizer) == 0
+        steps = {}
+        for p in pieces:
+            steps[p["step_group"]] = steps.get(p["step_group"], 0) + p["length"]
+        assert max(steps.values()) <= packing.STEP_TOKENS
+
+
+def test_packing_of_no_rows(no_rows):
+    assert packing.pack(no_rows).count() == 0
+
+
+def test_gaps_of_long_windows_are_filled_by_shorter_tiers():
+    packer = packing.Packer((4, 8))
+    made = [w for d, n in enumerate([6, 2, 3, 1, 5, 20]) for w in packer.add(d, n)]
+    made += [*packer.full()]
+    assert [[(5, 0, 8)], [(5, 8, 8)]] == made[:2]
+    assert all(sum(p[2] for p in w) in (4, 8) for w in made)
+    assert [(0, 0, 6), (1, 0, 2)] in made
+    assert sum(p[2] for w in [*made, *packer.rest()] for p in w) == 37
+
+
+# 5: quality rules
+
+def run_sql(duck_tables, sql):
+    import duckdb
+
+    connection = duckdb.connect()
+    for name, df in duck_tables.items():
+        connection.register(name, df.toPandas() if not hasattr(df, "to_pylist") else df)
+    cursor = connection.execute(sql)
+    return [d[0] for d in cursor.description], cursor.fetchall()
+
+
+def test_rules_equal_sql_on_edges(edges, no_rows):
+    columns, expected = run_sql({"documents": edges.select("doc_id", "text").toArrow()}, quality_rules.ORACLE_SQL)
+    assert rows_of(quality_rules.judged(edges), *columns) == sorted(expected, key=repr)
+    assert quality_rules.judged(no_rows).count() == 0
+
+
+def test_rules_run_without_python(edges):
+    plan = quality_rules.judged(edges)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_table_is_an_argument(edges):
+    strict = (*quality_rules.RULES, quality_rules.Rule("short", "n_words", "n_lines", 0.0, 0.0))
+    assert quality_rules.judged(edges, strict).where("kept").count() == 0
+    assert quality_rules.judged(edges, ()).where(F.col("kept") == F.col("base_failed")).count() == 0
+
+
+# 7: quotation linking
+
+THREAD = [
+    (1, 0, "user", "Hello there\nSecond  line of it"), (1, 1, "assistant", "> hello THERE\n\nAnswer one\nmore"),
+    (1, 2, "user", "On Monday Ann wrote:\n> Answer one\n> more\n> > hello there\n>\n> > > deep\nI see"),
+    (1, 5, "user", ">> Hello there Second line of it\nwell"), (1, 5, "user", "tie"), (1, 5, "user", "tie"), (2, 0, "user", "> Answer one\nx"),
+    (2, 3, "user", "x"), (None, 1, "user", "> a"), (3, None, "user", "q"), (4, 0, None, None), (4, 1, "user", ""), (4, 2, "user", "> x\n> y"),
+    (5, 0, "user", "L\nL\nL"), (5, 1, "a", "> L"), (5, 2, "a", "\t>L\n\n >  M\nrest"), (6, 0, "u", ">only"), (7, 0, "u", "a\r\nb"),
+    (7, 1, "u", "> a\r\n> b\r\nok"), (8, 0, "u", "word " * 20000)]
+THREAD_COLUMNS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def test_quotes_equal_sql(spark):
+    df = spark.createDataFrame([(*r, "x", 1) for r in THREAD], THREAD_COLUMNS + ", body string, message int")
+    columns, expected = run_sql({"conversations": df.drop("body", "message").toArrow()}, quotes.ORACLE_SQL)
+    found = quotes.linked(df)
+    assert rows_of(found, *columns) == sorted(expected, key=repr)
+    by_key = {(r.conv_id, r.turn, r.body): r for r in found.collect()}
+    reply = by_key[1, 2, "I see"]
+    assert (reply.reply_to, reply.by_quote, reply.n_quotes, reply.n_linked) == (1, True, 3, 2)
+    assert by_key[1, 1, "Answer one\nmore"].reply_to == 0
+    assert quotes.linked(spark.createDataFrame([], THREAD_COLUMNS)).count() == 0
+
+
+def test_answers_follow_what_they_answer(spark):
+    df = spark.createDataFrame(THREAD, THREAD_COLUMNS)
+    seen = set()
+    for r in quotes.in_reply_order(quotes.linked(df)).collect():
+        assert r.reply_to is None or (r.conv_id, r.reply_to) in seen
+        seen.add((r.conv_id, r.turn))
+
+
+def test_turn_before_over_many_partitions(spark):
+    rows = [(c, 3 * t + c, "u", "x") for c in range(3) for t in range(400)]
+    found = quotes._turn_before(spark.createDataFrame(rows, THREAD_COLUMNS).repartition(8)).collect()
+    assert {(r.conv_id, r.turn): r.before for r in found} == {(c, 3 * t + c): 3 * (t - 1) + c if t else None for c in range(3) for t in range(400)}
+
+
+# 8: main text
+
+ARTICLE = "<article><h1>Title &amp; more</h1><p>First  para<b>graph</b> &eacute;<br>line<p>Second &lt;one&gt;</p><ul><li>a</li><li>b</li></ul></article>"
+TEXT = "Title & more\n\nFirst paragraph é line\n\nSecond <one>\n\na\n\nb"
+
+
+def page(body, tail="</body></html>"):
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x='</p>';</script></head><body>{body}{tail}"
+
+
+def test_pages(spark):
+    nav = "<nav><ul><li><a href='/x'>menu</a></li></ul></nav>"
+    foot = "<footer>&copy; host</footer>"
+    rows = [(1, "http://a.example/1", page(nav + "<!-- c --><div class='ad'>Buy</div>" + ARTICLE + foot)),
+            (2, "http://a.example/2", page(nav + ARTICLE + foot, "")), (3, None, page(ARTICLE)), (4, "http://b.example/", None),
+            (5, "http://b.example/", ""), (6, "nonsense", "plain &amp; simple"), (1, "http://a.example/1", page(ARTICLE)),
+            (8, "http://c.example/", page(ARTICLE.replace("</article>", "<div class='comments'><p>reader says</p></div><form>go</form></article>"))),
+            (9, "http://d.example/", "<p>a < b and <i>c</i> <unclosed 'quote <p>d")]
+    df = spark.createDataFrame([(*r, "t", "h") for r in rows], "page_id bigint, url string, html string, text string, host string")
+    found = html_template.extract(df)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted((r.page_id, r.text) for r in found.collect())
+    assert got[:4] == [(1, TEXT), (1, TEXT), (2, TEXT), (3, TEXT)]
+    assert got[4:7] == [(4, ""), (5, ""), (6, "plain & simple")] and got[7] == (8, TEXT)
+    assert all(r.n_chars == len(r.text) for r in found.collect())
+    assert html_template.extract(df.limit(0)).count() == 0
+
+
+def test_template_of_a_host_without_articles(spark):
+    rnd = random.Random(2)
+    say = lambda n: " ".join(f"w{rnd.randrange(1000)}" for _ in range(n))
+    rows, expected = [], {}
+    for i in range(30):
+        text = [say(40), say(30)]
+        expected[i] = "\n\n".join(text)
+        rows.append((i, f"https://h.example/{i}", page(
+            "<div class='top'><a href='/'>home</a> <a href='/b'>about us</a></div><div class='strip'>We value what you value, stay with us</div>"
+            f"<div class='wrap'><div class='body-text'><p>{text[0]}</p><p>{text[1]}</p></div><div class='side'>{say(3)}</div></div><div class='legal'>All rights kept</div>")))
+    found = html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == expected
+
+
+def test_pages_equal_their_articles(spark, sf_dir):
+    from html import unescape
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = {r.page_id: r.text for r in html_template.extract(pages).collect()}
+    for r in pages.collect():
+        article = r.html.split("<article>")[1].split("</article>")[0]
+        blocks = [" ".join(unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert found[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+# 9: decontamination
+
+REPORT = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def expected_report(rows, items):
+    return sorted(((i, *v) for i, v in brute.contamination(rows, items).items()), key=repr)
+
+
+def test_hits_equal_brute_force(spark, documents, texts, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert rows_of(decontamination.report(documents, items), *REPORT) == expected_report(texts, [tuple(r) for r in items.collect()])
+
+
+@pytest.mark.parametrize("limit", [10**6, 4])
+def test_hits_of_edges(spark, edges, edge_rows, no_rows, limit):
+    plain = [(1, edge_rows[11][1]), (2, None), (3, ""), (4, "one"), (5, "ONE, two. THREE"), (1, edge_rows[11][1]), (7, "word " * 12), (8, "x x x"),
+             (9, edge_rows[8][1]), (10, "漢字 かな"), (30, "same line here same line here same line here same")]
+    items = spark.createDataFrame([(*x, 5) for x in plain], "item_id bigint, text string, n_hit int")
+    found = decontamination.matches(edges, items, block_windows=limit)
+    counts = {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in found.select("row.doc_id", "n_words", "n_hit", "items").collect()}
+    assert counts == {i: v[:3] for i, v in brute.contamination(pairs(edge_rows), plain).items()}
+    assert rows_of(decontamination.report(edges, items), *REPORT) == expected_report(pairs(edge_rows), plain)
+    assert decontamination.report(no_rows, items).count() == 0
+    none = decontamination.report(edges, items.limit(0))
+    assert none.count() == len(edge_rows) and none.where("contaminated").count() == 0
+
+
+def test_proximity_matches(spark):
+    item = "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1"
+    docs = [(0, f"x {item} y"), (1, item.replace("b1", "z")), (2, item.replace("b1", "z").replace("d1", "z")), (3, item.replace("b1", "z b1")),
+            (4, " ".join(["z"] * 3 + item.split()[3:]))]
+    found = decontamination.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string"), near=8)
+    assert {r.doc_id: (r.n_hit, r.n_near) for r in found.select("row.doc_id", "n_hit", "n_near").collect()} == {
+        0: (10, 10), 1: (0, 10), 2: (0, 10), 3: (0, 10), 4: (0, 0)}
+
+
+def test_clean_documents_stay(spark, edges, edge_rows):
+    items = spark.createDataFrame([(1, edge_rows[11][1])], "item_id bigint, text string")
+    kept = decontamination.clean(edges, items)
+    assert kept.columns == edges.columns
+    assert rows_of(kept, "doc_id") == sorted(((i,) for i, v in brute.contamination(pairs(edge_rows), [(1, edge_rows[11][1])]).items() if not v[4]), key=repr)
+
+
+# 10: language
+
+def test_languages_equal_plain_profiles(spark, edges, edge_rows, documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    for df, rows in ((documents, rows), (edges, [r[:3] for r in edge_rows])):
+        counts = {}
+        for i, t, lang in rows:
+            if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and t is not None:
+                counts.setdefault(lang, brute.Counter()).update(brute.gram_counts(t))
+        profiles = {k: brute.ranked(v) for k, v in counts.items()}
+        profiles = {k: v for k, v in profiles.items() if v}
+        for r in language_id.identify(df).collect():
+            text = next(t for i, t, _ in rows if i == r.doc_id)
+            expected = brute.language(text, profiles)
+            assert (r.held_out, r.lang_pred) == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1, expected[0])
+            assert abs(r.score - expected[1]) < 1e-12
+
+
+def test_held_out_accuracy(documents):
+    found = language_id.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert found.where(F.col("lang") == F.col("lang_pred")).count() >= 0.98 * found.count()
+
+
+def test_language_without_training(no_rows, edges):
+    assert language_id.identify(no_rows).count() == 0
+    found = language_id.identify(edges.withColumn("lang", F.lit(None).cast("string")))
+    assert rows_of(found.select("lang_pred", "score").distinct(), "lang_pred", "score") == [("und", 0.0)]
