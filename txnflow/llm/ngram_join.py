@@ -39,8 +39,9 @@ BUCKET_BITS = 18
 SKETCH_WORDS = 8
 #: Sets sharing an n-gram that meet in one task; beyond it they are put into one family unseen.
 RARE = 128
-#: Sets of a family that a task joins at once.
+#: Sets of a family that a task joins at once, and their n-grams.
 BLOCK = 384
+BLOCK_GRAMS = 1 << 20
 #: Sets of each large family that all its blocks meet first.
 PIVOTS = 8
 
@@ -128,24 +129,37 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
     return np.array([_find(parent, i) for i in range(n)])
 
 
-def _alike(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _alike(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the sets of one n-gram that sizes and sketches allow, as a forest."""
-    batch = batch.sort_values("doc_id", ignore_index=True)
-    size = batch["size"].to_numpy()
-    sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint64).reshape(len(batch), -1)
-    roots = np.arange(len(batch))
-    for i in range(1, len(batch)):
-        small, large = np.minimum(size[:i], size[i]), np.maximum(size[:i], size[i])
-        apart = np.bitwise_count(sketch[:i] ^ sketch[i]).sum(1)
-        common = (size[:i] + size[i] - apart) // 2
-        near = (100 * small >= percent * large) & (100 * common >= percent * (size[:i] + size[i] - common))
-        hit = np.unique(roots[:i][near])
-        if len(hit):
-            roots[np.isin(roots, hit)] = hit[0]
-            roots[i] = hit[0]
-    ids = batch["doc_id"].to_numpy()
-    kept = roots != np.arange(len(batch))
-    return pd.DataFrame({"u": ids[kept], "v": ids[roots[kept]]})
+    order = np.argsort(ids, kind="stable")
+    ids, size, sketch = ids[order], size[order], sketch[order]
+    both = size[:, None] + size
+    apart = np.bitwise_count(sketch[:, None] ^ sketch).sum(2, dtype=np.int64)
+    common = (both - apart) // 2
+    near = (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)) & (100 * common >= percent * (both - common))
+    np.fill_diagonal(near, True)
+    roots, before = np.arange(len(ids)), None
+    while before is None or (roots != before).any():
+        before = roots
+        roots = np.where(near, roots, len(ids)).min(1)
+        roots = roots[roots]
+    kept = roots != np.arange(len(ids))
+    return ids[kept], ids[roots[kept]]
+
+
+def _sketched_links(percent: int):
+    """Over rows of lists (docs, sizes, sketches), one for each n-gram."""
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            ids, sizes, sketches = (batch.column(k) for k in range(3))
+            flat_ids, flat_sizes = ids.flatten().to_numpy(), sizes.flatten().to_numpy()
+            flat = np.frombuffer(b"".join(sketches.flatten().to_pylist()), np.uint64).reshape(len(flat_ids), -1)
+            ends = np.cumsum(ids.value_lengths().to_numpy())
+            found = [_alike(flat_ids[s:e], flat_sizes[s:e], flat[s:e], percent) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+            u, v = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return batches
 
 
 def families(sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
@@ -158,7 +172,8 @@ def families(sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
     lists = (shared.where(F.col("n") <= rare).groupBy("gram")
              .agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).groupBy("docs").agg(F.min("gram").alias("gram")))
     members = lists.select("gram", F.explode("docs").alias("doc_id")).join(sets.select("doc_id", "size", "sketch"), "doc_id")
-    near = members.groupBy("gram").applyInPandas(lambda b: _alike(b, percent), "u bigint, v bigint")
+    tasks = members.groupBy("gram").agg(F.collect_list(F.struct("doc_id", "size", "sketch")).alias("x")).select("x.doc_id", "x.size", "x.sketch")
+    near = tasks.mapInArrow(_sketched_links(percent), "u bigint, v bigint")
     return (connected_components(frequent.union(near))
             .select(F.col("node").alias("doc_id"), F.col("component").alias("family")))
 
@@ -185,7 +200,7 @@ class PrefixTree:
         self.sets = sets
         self.root = _Node(0, 0, 0)
         path, before = [self.root], np.zeros(0, np.int64)
-        for k in sorted(range(len(sets)), key=lambda k: sets[k].tolist()):
+        for k in sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes()):
             own = sets[k]
             n = min(len(own), len(before))
             differ = own[:n] != before[:n]
@@ -261,10 +276,10 @@ def _links(tasks: DataFrame, percent: int) -> DataFrame:
 def family_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links among the members (family, doc_id, grams) of each family that connect all that is linked."""
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    counts = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    counts = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("grams") / 8).alias("n_grams"))
     placed = materialize(
         members.join(counts, "family").withColumn("spread", spread)
-        .withColumn("blocks", F.ceil(F.col("n") / block))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("n_grams") / BLOCK_GRAMS)))
         .withColumn("a", (F.col("spread") % F.col("blocks")).cast("bigint")), "members")
     small = placed.where("blocks = 1")
     first = _links(small.select("family", "a", F.lit(0).alias("b"), "doc_id", "grams", F.lit(True).alias("probe"), F.lit(True).alias("indexed")), percent)
@@ -285,8 +300,9 @@ def family_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFr
     largest = labels.groupBy("family").agg(F.max_by("label", F.struct("n_label", "label")).alias("giant"))
     # Members of the largest component are linked already; all others meet every block, the blocks after theirs among themselves.
     state = materialize(labelled.join(largest, "family").withColumn("loose", F.col("label") != F.col("giant")), "labelled")
+    # Loose members meet the blocks in groups as large as a block.
     loose = state.where("loose").groupBy("family").agg(F.count(F.lit(1)).alias("n_loose"))
-    state = state.join(loose, "family").withColumn("groups", F.ceil(F.col("n_loose") / block)).withColumn("g", F.col("spread") % F.col("groups"))
+    state = state.join(loose, "family").withColumn("groups", F.ceil(F.col("n_loose") * F.col("blocks") / F.col("n"))).withColumn("g", F.col("spread") % F.col("groups"))
     probes = state.where("loose").select(
         "family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("a"), F.col("g").alias("b"),
         "doc_id", "grams", F.lit(True).alias("probe"), F.lit(False).alias("indexed"))
