@@ -23,7 +23,7 @@ from txnflow.llm.text import code_points
 UNKNOWN = "und"
 #: Places in a profile, and of a document's list.
 PROFILE = 300
-#: Training texts taken per language, those with the smallest hashes; a bound on the fit alone.
+#: Training texts taken per language, about so many by the hash of the text; a bound on the fit alone.
 TRAIN_TEXTS = 2000
 _BITS = 21
 
@@ -61,11 +61,14 @@ def ranked(text: str | None, places: int = PROFILE) -> np.ndarray:
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id",
         places: int = PROFILE, per_language: int = TRAIN_TEXTS) -> dict[str, list[int]]:
     """The profile of each label; what reaches the driver is ``places`` numbers for each."""
-    spread = F.xxhash64(F.col(key), F.col(text))
-    order = Window.partitionBy("label").orderBy(spread, key)
-    chosen = (docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-              .select(F.col(label).alias("label"), F.col(key), F.col(text))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language))
+    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(label).alias("label"), F.col(text), (F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30)) / (1 << 30)).alias("spread"))
+    # Texts stay where they are: a label's share follows from its number of texts, a text's draw from its hash.
+    share = {r["label"]: per_language / r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not share:
+        return {}
+    shares = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
+    chosen = labelled.where(F.col("spread") < shares[F.col("label")])
 
     def counted(texts: list[str | None]) -> Iterator:
         for k, t in enumerate(texts):

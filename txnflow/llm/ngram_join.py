@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnflow.llm.components import connected_components
-from txnflow.llm.rows import map_texts
+from txnflow.llm.rows import ROWS, map_texts
 from txnflow.llm.text import mixed, whole, windows, words
 from txnflow.workspace import materialize
 
@@ -41,7 +41,7 @@ SKETCH_WORDS = 8
 RARE = 128
 #: Sets of a family that a task joins at once, and their n-grams.
 BLOCK = 384
-BLOCK_GRAMS = 1 << 20
+BLOCK_GRAMS = 1 << 18
 #: Sets of each large family that all its blocks meet first.
 PIVOTS = 8
 
@@ -66,7 +66,7 @@ def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents' n-grams fall into each bucket; every task adds up its own first."""
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in stream:
+        for batch in (whole.slice(k, ROWS) for whole in stream for k in range(0, whole.num_rows, ROWS)):
             for text in batch.column(0).to_pylist():
                 np.add.at(total, _buckets(gram_set(text, n)), 1)
         some = np.flatnonzero(total)
@@ -150,7 +150,7 @@ def _alike(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int)
 def _sketched_links(percent: int):
     """Over rows of lists (docs, sizes, sketches), one for each n-gram."""
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (whole.slice(k, ROWS) for whole in stream for k in range(0, whole.num_rows, ROWS)):
             ids, sizes, sketches = (batch.column(k) for k in range(3))
             flat_ids, flat_sizes = ids.flatten().to_numpy(), sizes.flatten().to_numpy()
             flat = np.frombuffer(b"".join(sketches.flatten().to_pylist()), np.uint64).reshape(len(flat_ids), -1)
@@ -253,8 +253,8 @@ def _joined(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
     raw = [np.frombuffer(b, np.uint64) for b in batch["grams"]]
     vocabulary, inverse = np.unique(np.concatenate(raw), return_inverse=True)
     # In the tree frequent terms come first, so that sets share the longest paths; the order of rare ones first served the prefixes.
-    popular = np.empty(len(vocabulary), np.int64)
-    popular[np.lexsort((vocabulary, -np.bincount(inverse)))] = np.arange(len(vocabulary))
+    popular = np.empty(len(vocabulary), np.int32)
+    popular[np.lexsort((vocabulary, -np.bincount(inverse)))] = np.arange(len(vocabulary), dtype=np.int32)
     cuts = np.cumsum([len(r) for r in raw])[:-1]
     sets = [np.sort(s) for s in np.split(popular[inverse], cuts)]
     probes = batch["probe"].to_numpy()

@@ -11,6 +11,9 @@ _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boole
           "binary": pa.binary()}
 _TYPES |= {f"array<{k}>": pa.list_(v) for k, v in _TYPES.items()}
 
+#: Rows handled at once, so that what is made of them stays small beside the batch.
+ROWS = 512
+
 Made = tuple[Any, dict[str, Iterable]]
 
 
@@ -26,7 +29,7 @@ def map_texts(df: DataFrame, text: str, made: Callable[[list[str | None]], Itera
     schema = f"row {source.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in fields.items())
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (whole.slice(k, ROWS) for whole in stream for k in range(0, whole.num_rows, ROWS)):
             row, texts = batch.column(0), batch.column(1).to_pylist()
             for positions, values in made(texts):
                 kept = row if positions is None else row.take(pa.array(positions, pa.int64()))
