@@ -23,7 +23,6 @@ component. Null ids give a null component.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,30 +246,30 @@ class PrefixTree:
         return found
 
 
-def _joined(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the probing and the indexed sets of a task, as a forest."""
-    batch = batch.sort_values(["doc_id", "indexed"], ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
-    raw = [np.frombuffer(b, np.uint64) for b in batch["grams"]]
+def _joined(task: pa.Table, percent: int) -> pa.Table:
+    """Links between the probing and the indexed sets of a task, as a forest; ids may come twice with the same set."""
+    ids, first = np.unique(task.column("doc_id").to_numpy(), return_index=True)
+    task = task.take(pa.array(first))
+    raw = [np.frombuffer(b.as_buffer(), np.uint64) for b in task.column("grams")]
     vocabulary, inverse = np.unique(np.concatenate(raw), return_inverse=True)
     # In the tree frequent terms come first, so that sets share the longest paths; the order of rare ones first served the prefixes.
     popular = np.empty(len(vocabulary), np.int32)
     popular[np.lexsort((vocabulary, -np.bincount(inverse)))] = np.arange(len(vocabulary), dtype=np.int32)
     cuts = np.cumsum([len(r) for r in raw])[:-1]
     sets = [np.sort(s) for s in np.split(popular[inverse], cuts)]
-    probes = batch["probe"].to_numpy()
-    indexed = np.flatnonzero(batch["indexed"].to_numpy())
+    probes = task.column("probe").to_numpy()
+    indexed = np.flatnonzero(task.column("indexed").to_numpy())
     tree = PrefixTree([sets[k] for k in indexed])
     pairs = ((int(k), int(j)) for k in np.flatnonzero(probes)
              for j in indexed[tree.search(sets[k], percent, len(vocabulary))] if j != k)
-    roots = _forest(len(batch), pairs)
-    ids = batch["doc_id"].to_numpy()
-    kept = roots != np.arange(len(batch))
-    return pd.DataFrame({"u": ids[kept], "v": ids[roots[kept]]})
+    roots = _forest(len(ids), pairs)
+    kept = roots != np.arange(len(ids))
+    return pa.table({"u": ids[kept], "v": ids[roots[kept]]})
 
 
 def _links(tasks: DataFrame, percent: int) -> DataFrame:
     """tasks: key columns family, a, b, then doc_id, grams, probe, indexed."""
-    return tasks.groupBy("family", "a", "b").applyInPandas(lambda b: _joined(b, percent), "u bigint, v bigint")
+    return tasks.groupBy("family", "a", "b").applyInArrow(lambda t: _joined(t, percent), "u bigint, v bigint")
 
 
 def family_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
