@@ -96,3 +96,10 @@ def test_key_fraction(spark):
     values = [r["f"] for r in rows.collect()]
     assert all(0 <= v < 1 for v in values) and 0.45 < sum(values) / len(values) < 0.55
     assert spark.createDataFrame([(None,)], "k string").select(key_fraction("k")).first()[0] is not None
+
+
+def test_a_time_without_a_date_is_no_time(spark):
+    from txnflow.functions.times import parse_time
+
+    rows = spark.createDataFrame([("12:34:56",), ("2023-01-05 01:02:03",), ("2023-01-05",), ("bad",), ("",), (None,), (" 2023-01-05T01:02:03 ",)], "t string")
+    assert [r[0] is not None for r in rows.select(parse_time(F.col("t"))).collect()] == [False, True, True, False, False, False, True]

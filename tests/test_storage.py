@@ -11,7 +11,7 @@ from txnflow import workspace
 from txnflow.operators.route import route_by_label
 from txnflow.plans.importing import run_import
 from txnflow.schemas import CUSTOMER, LABELLED_TRANSACTION, OFFSETS, POINT_MESSAGE, TRANSACTION
-from txnflow.sinks.keyed import create_keyed_table, upsert_keyed_table
+from txnflow.sinks import keyed
 from txnflow.sinks.replay import MESSAGE_FIELDS, publish, replay_messages
 from txnflow.sinks.tables import save_routes, save_routes_apart, save_table
 from txnflow.sources.json_schema import infer_json_schema
@@ -54,24 +54,58 @@ def test_routes_as_partitions_and_apart(spark, tmp_path):
     assert [r["n"] for r in load_table(spark, path=str(tmp_path / "fraud")).collect()] == [1]
 
 
-def test_keyed_table_rewrites_only_the_days_that_come_in(spark, tmp_path):
-    path, schema = str(tmp_path / "keyed"), "cc_num string, trans_time timestamp, trans_num string, amt double"
-    d1, d2, d3 = TS(2023, 1, 1, 5), TS(2023, 1, 2, 5), TS(2023, 1, 3, 5)
-    create_keyed_table(rows_to_df(spark, [("1", d1, "a", 1.0), ("1", d1, "b", 2.0), ("1", d2, "c", 3.0)], schema), path)
+KEYED = "cc_num string, trans_time timestamp, trans_num string, amt double"
+D1, D2, D3 = TS(2023, 1, 1, 5), TS(2023, 1, 2, 5), TS(2023, 1, 3, 5)
 
-    def stored():
-        return {tuple(r)[:4] for r in load_table(spark, path=path).select("cc_num", "trans_time", "trans_num", "amt").collect()}
 
-    def files(day):
-        return sorted(p.name for p in (tmp_path / "keyed" / f"day={day}").glob("*.parquet"))
+def stored_rows(spark, path):
+    return {tuple(r) for r in keyed.read_keyed_table(spark, path, KEYED).collect()}
 
-    assert stored() == {("1", d1, "b", 2.0), ("1", d2, "c", 3.0)}
-    untouched = files("2023-01-01")
-    upsert_keyed_table(spark, path, rows_to_df(spark, [("1", d2, "a", 7.0), ("2", d2, "x", 8.0), ("2", d3, "y", 9.0), ("2", None, "n", 1.0)], schema))
-    assert stored() == {("1", d1, "b", 2.0), ("1", d2, "a", 7.0), ("2", d2, "x", 8.0), ("2", d3, "y", 9.0)}
-    assert files("2023-01-01") == untouched
-    upsert_keyed_table(spark, path, rows_to_df(spark, [], schema))
-    assert len(stored()) == 4
+
+def test_keyed_table_writes_only_the_days_that_come_in(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    keyed.create_keyed_table(rows_to_df(spark, [("1", D1, "a", 1.0), ("1", D1, "b", 2.0), ("1", D2, "c", 3.0)], KEYED), path)
+    assert stored_rows(spark, path) == {("1", D1, "b", 2.0), ("1", D2, "c", 3.0)}
+    later = rows_to_df(spark, [("1", D2, "a", 7.0), ("2", D2, "x", 8.0), ("2", D3, "y", 9.0), ("2", None, "n", 1.0)], KEYED)
+    keyed.upsert_keyed_table(spark, path, later)
+    expected = {("1", D1, "b", 2.0), ("1", D2, "a", 7.0), ("2", D2, "x", 8.0), ("2", D3, "y", 9.0)}
+    assert stored_rows(spark, path) == expected
+    assert [len(list(tmp_path.glob(f"keyed/version=*/day={d}"))) for d in ("2023-01-01", "2023-01-02", "2023-01-03")] == [1, 2, 1]
+    keyed.upsert_keyed_table(spark, path, rows_to_df(spark, [], KEYED))
+    keyed.remove_unused_versions(spark, path)
+    assert stored_rows(spark, path) == expected and len(list(tmp_path.glob("keyed/_manifest/0*"))) == 1
+    assert keyed.read_keyed_table(spark, path, KEYED, ["2023-01-03"]).count() == 1
+
+
+def test_a_write_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "keyed")
+    rows = rows_to_df(spark, [(str(i), D1, "a", float(i)) for i in range(5)], KEYED)
+    keyed.upsert_keyed_table(spark, path, rows)
+    change = rows_to_df(spark, [("3", D1, "b", 99.0)], KEYED)
+    switch = keyed._switch
+
+    def lost(*_):
+        raise RuntimeError("lost before the switch")
+
+    monkeypatch.setattr(keyed, "_switch", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        keyed.upsert_keyed_table(spark, path, change)
+    assert len(stored_rows(spark, path)) == 5 and ("3", D1, "a", 3.0) in stored_rows(spark, path)
+    monkeypatch.setattr(keyed, "_switch", switch)
+    keyed.upsert_keyed_table(spark, path, change)
+    assert len(stored_rows(spark, path)) == 5 and ("3", D1, "b", 99.0) in stored_rows(spark, path)
+    # Of two writers that began from the same state the second is told so.
+    before = keyed._manifest(spark, path)
+    switch(spark, path, before[0] + 1, before[1])
+    with pytest.raises(RuntimeError, match="another writer"):
+        switch(spark, path, before[0] + 1, before[1])
+
+
+def test_offsets_only_grow(spark, tmp_path):
+    path = str(tmp_path / "offsets")
+    for rows in ([(0, 5), (1, 7)], [(0, 3), (2, 1)], [(1, 9)]):
+        keyed.store_offsets(spark, path, rows_to_df(spark, rows, OFFSETS))
+    assert {tuple(r) for r in keyed.read_keyed_table(spark, path, OFFSETS).collect()} == {(0, 5), (1, 9), (2, 1)}
 
 
 def test_topic_of_files(spark, tmp_path):
@@ -97,8 +131,8 @@ def test_json_schema_of_all_rows(spark):
 
 def test_replay(spark, make_transactions):
     raw = make_transactions(*[{"trans_num": f"t{i:02}", "is_fraud": float(i % 2)} for i in range(30)])
-    found = replay_messages(raw, now="2024-01-01 00:00:00").collect()
-    assert len(found) == 10
+    found = replay_messages(raw, 10, "2024-01-01 00:00:00").collect()
+    assert len(found) == 10 and replay_messages(raw).count() == 15
     first = json.loads(found[0]["value"])
     assert list(first) == MESSAGE_FIELDS and first["trans_num"] == "t01" and first["amt"] == "10.5"
     assert first["trans_time"] == "2024-01-01 00:00:00" and found[0]["key"] == "1"
@@ -108,16 +142,24 @@ def test_replay(spark, make_transactions):
 
 def test_import_job(spark, customers, make_transactions, as_of, tmp_path):
     raw = make_transactions({}, {"trans_num": "t2", "is_fraud": 1.0, "trans_time": "01:00:00"},
-                            {"trans_num": "t3", "trans_date": "bad"}, {"trans_num": "t4", "is_fraud": 5.0})
+                            {"trans_num": "t3", "trans_date": "bad"}, {"trans_num": "t4", "is_fraud": 5.0},
+                            {"trans_num": "t5", "cc_num": "unheard of"})
     for name, rows in [("transactions", raw), ("customers", customers.unionByName(customers))]:
         save_table(rows, "csv", path=str(tmp_path / name), header=True)
     counts = run_import(spark, str(tmp_path / "transactions"), str(tmp_path / "customers"), str(tmp_path / "out"), as_of)
     # The card is listed twice in the input, so the join sees every row twice and the keyed table folds them.
-    assert (counts.routed, counts.unrouted, counts.rejected) == (4, 2, 2)
+    assert (counts.routed, counts.unrouted, counts.rejected, counts.unknown_card) == (4, 2, 2, 1)
     stored = load_table(spark, path=str(tmp_path / "out" / "transaction"))
     assert {(r["trans_num"], r["route"], r["age"]) for r in stored.collect()} == {("t1", "non_fraud", 24), ("t2", "fraud", 24)}
     assert load_table(spark, path=str(tmp_path / "out" / "customer")).count() == 2
     assert load_table(spark, path=str(tmp_path / "out" / "customer")).columns == [c.split()[0] for c in CUSTOMER.split(", ")]
+    # From another format into tables of another, one for each route.
+    save_table(raw, "orc", path=str(tmp_path / "raw"))
+    save_table(customers, "orc", path=str(tmp_path / "holders"))
+    targets = {t: {"path": str(tmp_path / "apart" / t)} for t in ("customer", "fraud", "non_fraud")}
+    counts = run_import(spark, str(tmp_path / "raw"), str(tmp_path / "holders"), "", as_of, source=("orc", {}), target="orc", targets=targets)
+    assert (counts.routed, counts.unknown_card) == (2, 1)
+    assert [load_table(spark, "orc", **targets[t]).count() for t in ("customer", "fraud", "non_fraud")] == [2, 1, 1]
 
 
 def test_workspace_uses_the_shared_folder(spark, monkeypatch):

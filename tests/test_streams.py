@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from txnflow.functions.messages import parse_transactions
 from txnflow.operators.enrich import enrich
 from txnflow.schemas import TOPIC, TRANSACTION_KEY
+from txnflow.sinks.keyed import notes_of, read_keyed_table
 from txnflow.sources.tables import load_table, rows_to_df
 from txnflow.sources.topics import read_topic
 from txnflow.streaming.queries import (
-    await_all, compact, keyed_view, read_named, read_routed, start_batches, start_named, start_routed, stop_all,
+    await_all, compact, fold, keyed_view, read_named, read_routed, start_batches, start_named, start_routed, stop_all,
 )
 from txnflow.streaming.transactions import CardHolders, enrich_stream
 
@@ -69,11 +70,23 @@ def test_batches_routed_restarted_and_folded(spark, customers, topic, tmp_path,
     # Equal key: the later batch wins, although its transaction number is the smaller.
     assert {r["trans_num"] for r in keyed_view(stored).collect()} == {"t2", "a"}
 
+    holders = [p["observedMetrics"]["holders"] for p in query.recentProgress if p["numInputRows"]]
+    assert sorted((h["with_card"], h["unknown_card"]) for h in holders) == [(2, 0), (3, 1)]
+    tables = str(tmp_path / "tables")
+    for _ in range(2):
+        fold(stored, tables)
+
     # Nothing new: nothing is read again. Something new: only that is added.
     assert run()[1].count() == 3
     topic(message(spark, 7, trans_time="2023-01-06 00:00:00"))
     _, stored = run()
     assert stored.where("batch_id = 2").count() == 1 and stored.count() == 4
+    fold(stored, tables)
+    schema = stored.drop("batch_id", "route").schema
+    kept = {route: {r["trans_num"] for r in read_keyed_table(spark, f"{tables}/{route}", schema).collect()} for route in ("fraud", "non_fraud")}
+    assert kept == {"fraud": {"t2"}, "non_fraud": {"a", "t7"}} and notes_of(spark, f"{tables}/non_fraud") == {"batch_id": 2}
+    with pytest.raises(ValueError, match="checkpoint"):
+        start_routed(stream_of(spark, topic).withColumn("is_fraud", F.lit(1.0)), out, str(tmp_path / "other"), **ONCE)
     compact(stored, str(tmp_path / "folded"))
     folded = load_table(spark, path=str(tmp_path / "folded"))
     assert {r["trans_num"] for r in folded.collect()} == {"t2", "a", "t7"} and "batch_id" not in folded.columns
@@ -123,3 +136,17 @@ def test_memory_sink_and_query_control(spark, topic):
     assert query.isActive and await_all(spark, 0.1) is False
     stop_all(spark)
     assert not query.isActive and not spark.streams.active and await_all(spark) is True
+
+
+def test_the_failure_of_any_query_is_raised(spark, topic, tmp_path):
+    topic(message(spark, 1))
+
+    def fail(batch, batch_id):
+        raise RuntimeError("broken sink")
+
+    running = start_named(stream_of(spark, topic), "still_running")
+    start_batches(stream_of(spark, topic), fail, str(tmp_path / "cp"))
+    with pytest.raises(Exception, match="broken sink"):
+        await_all(spark, 60)
+    assert running.isActive
+    stop_all(spark)

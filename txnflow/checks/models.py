@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 from txnflow.checks.registry import AS_OF, query, with_enriched, with_parts
 from txnflow.checks.relational import FRACTION_SQL, enriched as derived
 from txnflow.checks.tables import TIME, customers, transaction_messages
-from txnflow.operators.features import fit_features, frequency_index
+from txnflow.operators.features import FeatureModel, fit_features, frequency_index
 from txnflow.operators.forest import load_model, save_model, score, train_forest as fit_forest
+from txnflow.operators.metrics import weighted_f1
+from txnflow.operators.route import union_tables
 from txnflow.operators.split import hash_split
-from txnflow.operators.undersample import kmeans_undersample as centres_of
+from txnflow.operators.undersample import cluster_cells, kmeans_undersample as centres_of
 from txnflow.plans.inference import score_stream, start_inference
 from txnflow.plans.training import balanced_train, run_training, train_classifier as fit_classifier
-from txnflow.schemas import FEATURES, LABEL
+from txnflow.schemas import FEATURES, FRAUD, LABEL, NON_FRAUD
+from txnflow.sinks.keyed import read_keyed_table
 from txnflow.sinks.tables import save_table
-from txnflow.streaming.queries import keyed_view, read_routed, start_named
+from txnflow.sources.tables import load_table
+from txnflow.streaming.queries import fold, read_routed, routed_schema, start_named
 from txnflow.streaming.transactions import CardHolders
 from txnflow.workspace import materialize, scratch_path
 
+# Taken as nominal in the test tables; their merchants grow beyond the bins of a forest.
+CODED = ("category",)
+TRAIN_SQL = f"train as (select * from enriched where {FRACTION_SQL} < 0.7)"
 # Trained models by (application, folder of tables): training once serves all queries that only score.
 _models: dict[tuple[str, str], str] = {}
 
@@ -35,7 +42,7 @@ def _model(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
         path = scratch_path(spark, "model")
-        trained = fit_classifier(enriched(spark, sf_dir), measure=False)
+        trained = fit_classifier(enriched(spark, sf_dir), nominal=CODED, measure=False)
         save_model(trained.features, trained.forest, path)
         _models[key] = path
     return load_model(spark, _models[key])
@@ -85,14 +92,27 @@ def _vectors(df, names=("cc_num_index", "category_index", "merchant_index", "dis
 def feature_vector(spark, sf_dir):
     """Vectors of all rows from features fitted on the train rows, unseen categories included."""
     rows = enriched(spark, sf_dir)
-    return _vectors(fit_features(hash_split(rows)[0], FEATURES).transform(rows))
+    return _vectors(fit_features(hash_split(rows)[0], FEATURES, CODED).transform(rows))
 
 
 @query(_indexed_sql(f"trans_num, {FEATURE_SQL}"))
 def feature_tables(spark, sf_dir):
-    """The same vectors with every category column indexed by a table, as for very many categories."""
+    """The same vectors with all category columns as ordinal numbers, as for very many categories."""
     rows = enriched(spark, sf_dir)
-    return _vectors(fit_features(hash_split(rows)[0], FEATURES, max_categories=0).transform(rows))
+    return _vectors(fit_features(hash_split(rows)[0], FEATURES, nominal=()).transform(rows))
+
+
+@query(with_parts(f""", train as (select * from enriched where {FRACTION_SQL} < 0.7)
+select 'cc_num' as name, false as nominal, count(distinct cc_num) as labels from train
+union all select 'category', true, count(distinct category) from train
+union all select 'merchant', false, count(distinct merchant) from train
+union all select name, false, cast(null as bigint) from (values ('distance'), ('amt'), ('age')) as numbers(name)""",
+                  "customers", "transactions", "enriched"))
+def feature_roles(spark, sf_dir):
+    """What each feature counts as, and its number of labels, as saved with the model."""
+    path = scratch_path(spark, "features")
+    fit_features(_train(spark, sf_dir), FEATURES, CODED).save(path)
+    return FeatureModel.load(spark, path).roles(spark)
 
 
 @query(_indexed_sql(f"""trans_num,
@@ -102,7 +122,7 @@ def feature_tables(spark, sf_dir):
 def one_hot(spark, sf_dir):
     """Place of the one in each one-hot vector, -1 if there is none, and the vector's width."""
     rows = enriched(spark, sf_dir)
-    features = fit_features(hash_split(rows)[0], ["category", "merchant", "amt"], one_hot=True)
+    features = fit_features(hash_split(rows)[0], ["category", "merchant", "amt"], max_bins=1 << 20, one_hot=True)
     coded = features.transform(rows).select(
         "trans_num", *[vector_to_array(f"{c}_one_hot").alias(c) for c in ("category", "merchant")])
     return coded.select(
@@ -112,33 +132,68 @@ def one_hot(spark, sf_dir):
     )
 
 
-# --- models, rows only ---
+# --- models: what SQL can say of them ---
 
-@query()
-def kmeans_undersample(spark, sf_dir):
-    """As many centres of the non-fraud train rows as there are fraud train rows."""
+# Rows are equal where all features are; the number of distinct negatives bounds the centres.
+_DISTINCT_SQL = ("(select count(*) from (select distinct cc_num, category, merchant, distance, amt, age from train where is_fraud = 0 "
+                 "and amt is not null and distance is not null and age is not null))")
+
+
+def _clustered(spark, sf_dir):
     train = _train(spark, sf_dir)
-    features = fit_features(train, FEATURES)
+    features = fit_features(train, FEATURES, CODED)
     vectors = materialize(features.transform(train).select("features", LABEL), "vectors")
     k = vectors.where(F.col(LABEL) == 1).count()
-    centres = centres_of(vectors.where(F.col(LABEL) == 0), k)
-    return _vectors(centres.withColumn("trans_num", F.lit("centre"))).drop("trans_num")
+    return cluster_cells(vectors.where(F.col(LABEL) == 0).select("features"), k)
+
 
+@query(with_parts(f""", {TRAIN_SQL}
+select least(count(*) filter (where is_fraud = 1), {_DISTINCT_SQL}) as centres,
+  cast(count(*) filter (where is_fraud = 0) as double) as weight, cast(0 as bigint) as empty from train""",
+                  "customers", "transactions", "enriched"))
+def undersample_invariants(spark, sf_dir):
+    """Centres of the non-fraud train rows: how many, how many rows they stand for, and how many stand for none."""
+    return _clustered(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("centres"), F.sum("weight").alias("weight"), F.count_if(F.col("weight") < 1).alias("empty"))
 
-@query()
+
+@query(with_parts(f""", {TRAIN_SQL}
+select least(count(*) filter (where is_fraud = 1), {_DISTINCT_SQL}) as centres,
+  cast(6 as integer) as features, true as within from train""", "customers", "transactions", "enriched"))
+def kmeans_undersample(spark, sf_dir):
+    """As many centres of the non-fraud train rows as there are fraud train rows: their number, width, and whether they lie among the rows."""
+    train = _train(spark, sf_dir)
+    features = fit_features(train, FEATURES, CODED)
+    vectors = materialize(features.transform(train).select("features", LABEL), "vectors")
+    negatives = vectors.where(F.col(LABEL) == 0)
+    centres = centres_of(negatives, vectors.where(F.col(LABEL) == 1).count())
+    amount = vector_to_array("features")[4]
+    bounds = negatives.agg(F.min(amount).alias("low"), F.max(amount).alias("high"))
+    # Sums of many numbers may miss a bound by their rounding.
+    inside = amount.between(F.col("low") - 1e-6, F.col("high") + 1e-6)
+    return centres.join(F.broadcast(bounds)).agg(
+        F.count(F.lit(1)).alias("centres"), F.max(F.size(vector_to_array("features"))).alias("features"), F.every(inside).alias("within"))
+
+
+@query("""
+select * from (values (0, 'cc_num', true), (1, 'category', true), (2, 'merchant', true), (3, 'distance', true),
+  (4, 'amt', true), (5, 'age', true)) as found("position", feature, sums_to_one)""")
 def train_forest(spark, sf_dir):
-    """Importance of each feature in a forest trained on the balanced train rows."""
-    features, rows, _, _ = balanced_train(_train(spark, sf_dir))
-    forest = fit_forest(rows)
-    importance = forest.featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(features.columns, importance)), "feature string, importance double")
+    """The features of a forest trained on the balanced train rows, in order, and whether their importances add up."""
+    features, rows, *_ = balanced_train(_train(spark, sf_dir), nominal=CODED)
+    importance = fit_forest(rows).featureImportances.toArray()
+    whole = bool(abs(importance.sum() - 1) < 1e-9 and len(importance) == len(features.columns))
+    return spark.createDataFrame([(i, c, whole) for i, c in enumerate(features.columns)], "position int, feature string, sums_to_one boolean")
 
 
-@query()
+@query(with_enriched(f"""
+select cc_num, trans_time, trans_num, category, merchant, amt, merch_lat, merch_long, distance, age, is_fraud, true as is_class
+from enriched where {FRACTION_SQL} >= 0.7"""))
 def batch_score(spark, sf_dir):
-    """All test rows with their predicted class."""
+    """All test rows, and whether each has one of the two classes as its prediction."""
     _, test = hash_split(enriched(spark, sf_dir))
-    return score(test, *_model(spark, sf_dir))
+    scored = score(test, *_model(spark, sf_dir))
+    return scored.withColumn("is_class", F.coalesce(F.col("prediction").isin(0.0, 1.0), F.lit(False))).drop("prediction")
 
 
 @query(with_enriched("""
@@ -146,7 +201,7 @@ select count(*) as n, cast(0 as bigint) as differing from enriched"""))
 def model_roundtrip(spark, sf_dir):
     """All rows scored by a model as trained and as loaded again: how many, and how many come out different."""
     rows = enriched(spark, sf_dir)
-    features, rows_train, _, _ = balanced_train(hash_split(rows)[0], ["category", "merchant", "distance", "amt", "age"])
+    features, rows_train, *_ = balanced_train(hash_split(rows)[0], ["category", "merchant", "distance", "amt", "age"], CODED)
     forest = fit_forest(rows_train)
     path = scratch_path(spark, "model")
     save_model(features, forest, path)
@@ -157,15 +212,19 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
-@query()
+@query(with_parts(f""", {TRAIN_SQL}
+select count(*) filter (where is_fraud = 1) as train_fraud, count(*) filter (where is_fraud = 0) as train_non_fraud,
+  true as metric_holds from train""", "customers", "transactions", "enriched"))
 def train_classifier(spark, sf_dir):
-    """The training job from a stored table: sizes of the train set and weighted F1 on the test set."""
-    table = scratch_path(spark, "transaction")
+    """The training job from a stored table: sizes of the train set, and whether its metric is that of the scored test rows."""
+    table, model = scratch_path(spark, "transaction"), scratch_path(spark, "model")
     save_table(derived(spark, sf_dir), path=table)
-    trained = run_training(spark, table, scratch_path(spark, "model"))
+    trained = run_training(spark, table, model, nominal=CODED)
+    scored = score(hash_split(load_table(spark, path=table))[1], *load_model(spark, model))
+    again = weighted_f1(scored, LABEL).first()[0]
     return spark.createDataFrame(
-        [(trained.train_fraud, trained.train_non_fraud, trained.weighted_f1)],
-        "train_fraud bigint, train_non_fraud bigint, weighted_f1 double")
+        [(trained.train_fraud, trained.train_non_fraud, abs(trained.weighted_f1 - again) < 1e-9)],
+        "train_fraud bigint, train_non_fraud bigint, metric_holds boolean")
 
 
 # --- streams with a model ---
@@ -175,7 +234,7 @@ def stream_score(spark, sf_dir):
     """All messages scored in a stream: how many, and how many differ from the batch scores of the same rows."""
     features, forest = _model(spark, sf_dir)
     path = scratch_path(spark, "scored")
-    with CardHolders(customers(spark, sf_dir)) as holders:
+    with CardHolders(customers(spark, sf_dir), features=features) as holders:
         messages = transaction_messages(spark, sf_dir, stream=True)
         stream = score_stream(messages, holders, features, forest, AS_OF, TIME)
         start_named(stream, "scored", path, watermark=None, availableNow=True).awaitTermination()
@@ -188,14 +247,17 @@ def stream_score(spark, sf_dir):
     return balance.agg(F.sum("n").alias("n"), F.sum(F.abs("surplus")).alias("differing"))
 
 
-@query()
+@query(with_enriched("select distinct cc_num, trans_time, true as is_class from enriched"))
 def stream_inference(spark, sf_dir):
-    """The inference job: all messages scored, routed and stored; the rows of both keyed tables."""
+    """The inference job: all messages scored, routed, stored, and folded into both keyed tables; their keys and whether
+    each row's class is that of its table."""
     features, forest = _model(spark, sf_dir)
-    path = scratch_path(spark, "inference")
-    with CardHolders(customers(spark, sf_dir)) as holders:
-        messages = transaction_messages(spark, sf_dir, stream=True)
-        start_inference(messages, holders, features, forest, path, AS_OF, TIME, availableNow=True).awaitTermination()
-        schema = score_stream(messages, holders, features, forest, AS_OF, TIME).schema
-    routed = read_routed(spark, path, schema.add("batch_id", "long").add("route", "string"))
-    return keyed_view(routed).drop("batch_id")
+    path, tables = scratch_path(spark, "inference"), scratch_path(spark, "keyed")
+    holders = CardHolders(customers(spark, sf_dir), features=features)
+    messages = transaction_messages(spark, sf_dir, stream=True)
+    start_inference(messages, holders, features, forest, path, AS_OF, TIME, availableNow=True).awaitTermination()
+    schema = score_stream(messages, holders, features, forest, AS_OF, TIME).schema
+    fold(read_routed(spark, path, routed_schema(schema)), tables)
+    fraud, other = (read_keyed_table(spark, f"{tables}/{r}", schema).withColumn("expected", F.lit(v)) for r, v in ((FRAUD, 1.0), (NON_FRAUD, 0.0)))
+    rows = union_tables(fraud, other)
+    return rows.groupBy("cc_num", "trans_time").agg(F.every(F.col(LABEL) == F.col("expected")).alias("is_class"))

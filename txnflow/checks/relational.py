@@ -14,9 +14,12 @@ from txnflow.functions.messages import cast_numbers, flatten_json
 from txnflow.functions.times import age_in_years, date_prefix as date_part, normalize_time as full_times
 from txnflow.operators import history, keyed, metrics, route, split
 from txnflow.operators.enrich import enrich as with_holder
+from txnflow.operators.sizing import broadcast_if_small
 from txnflow.plans.importing import import_transactions as imported
 from txnflow.schemas import ENRICHED, LABEL
+from txnflow.sinks.keyed import read_keyed_table, store_offsets
 from txnflow.sources.tables import load_table, rows_to_df
+from txnflow.workspace import materialize, scratch_path
 
 
 def enriched(spark, sf_dir):
@@ -112,7 +115,7 @@ def customer_age(spark, sf_dir):
 
 def _distances(spark, sf_dir, variant):
     rows = transactions(spark, sf_dir, ["cc_num", "trans_num", "merch_lat", "merch_long"])
-    homes = customers(spark, sf_dir).select("cc_num", "lat", "long")
+    homes = broadcast_if_small(customers(spark, sf_dir).select("cc_num", "lat", "long"))
     km = F.round(haversine_km("lat", "long", "merch_lat", "merch_long", variant), 6)
     return rows.join(homes, "cc_num").select("trans_num", km.alias("km"))
 
@@ -196,7 +199,12 @@ def weighted_f1(spark, sf_dir):
 @query("""
 select cast(event_id % 4 as integer) as "partition", max(event_id // 4) as "offset" from events group by all""")
 def offset_ledger(spark, sf_dir):
-    return keyed.latest_offsets(event_messages(table(spark, sf_dir, "events")))
+    """The ledger written in two parts, the later part of the topic first, and read back."""
+    path = scratch_path(spark, "offsets")
+    messages = event_messages(table(spark, sf_dir, "events"))
+    for part in (F.col("offset") % 2 == 1, F.col("offset") % 2 == 0):
+        store_offsets(spark, path, keyed.latest_offsets(messages.where(part)))
+    return read_keyed_table(spark, path, "partition int, offset bigint")
 
 
 # --- sorts and limits ---
@@ -249,8 +257,12 @@ def hash_split(spark, sf_dir):
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
-@query()
+@query("""
+select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as trans_num, l_extendedprice as amt,
+  case when (l_orderkey * 7 + l_linenumber * 13) % 200 = 0 then cast(1 as double) else cast(0 as double) end as is_fraud
+from lineitem""")
 def random_split(spark, sf_dir):
-    """Rows only: the sides depend on the partitioning."""
-    train, test = split.random_split(transactions(spark, sf_dir, ["trans_num", "amt", LABEL]))
-    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    """Both sides together: all rows once. Which side a row is on depends on the partitioning."""
+    rows = materialize(transactions(spark, sf_dir, ["trans_num", "amt", LABEL]), "rows")
+    train, test = split.random_split(rows)
+    return train.unionByName(test)

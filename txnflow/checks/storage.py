@@ -6,10 +6,12 @@ from txnflow.checks.registry import AS_OF, query, with_enriched, with_parts
 from txnflow.checks.relational import IMPORTED_SQL, enriched
 from txnflow.checks.tables import TIME, customers, event_messages, table, transactions
 from txnflow.functions.messages import decode_json
+from txnflow.operators.history import card_history, cluster_by_card
 from txnflow.operators.keyed import latest_by_key, upsert
 from txnflow.operators.route import route_by_label, union_tables
 from txnflow.plans.importing import run_import
 from txnflow.schemas import CUSTOMER, FRAUD, LABELLED_TRANSACTION, NON_FRAUD
+from txnflow.sinks.keyed import create_keyed_table, read_keyed_table, upsert_keyed_table
 from txnflow.sinks.replay import publish, replay_messages
 from txnflow.sinks.tables import save_routes_apart, save_table
 from txnflow.sources.json_schema import infer_json_schema
@@ -109,7 +111,7 @@ from transactions join (select cc_num, first, last from customers) using (cc_num
 where is_fraud = 1 order by trans_num, amt limit 10""", "customers", "transactions"))
 def replay_json(spark, sf_dir):
     rows = raw_transactions(spark, sf_dir)
-    return replay_messages(rows, now="2024-01-01 00:00:00", order=["trans_num", "amt"])
+    return replay_messages(rows, 10, "2024-01-01 00:00:00", ["trans_num", "amt"])
 
 
 @query(with_enriched(IMPORTED_SQL))
@@ -129,3 +131,29 @@ def save_routes_separately(spark, sf_dir):
     targets = {r: {"path": scratch_path(spark, r)} for r in (FRAUD, NON_FRAUD)}
     save_routes_apart(route_by_label(enriched(spark, sf_dir)), targets, "parquet")
     return union_tables(*[load_table(spark, **targets[r]) for r in (FRAUD, NON_FRAUD)])
+
+
+@query(with_enriched("""
+select cc_num, trans_time, trans_num, category, merchant, amt, merch_lat, merch_long, distance, age, is_fraud
+from (
+  select *, row_number() over (partition by cc_num, trans_time
+    order by category = 'ECONOMY' desc, trans_num desc, amt desc) as key_rank
+  from enriched)
+where key_rank = 1"""))
+def keyed_table_upsert(spark, sf_dir):
+    """All transactions but one category's as a stored keyed table, that category's written into it; the rows in force."""
+    rows = enriched(spark, sf_dir)
+    later = F.col("category") == "ECONOMY"
+    path = scratch_path(spark, "keyed")
+    create_keyed_table(rows.where(~later), path)
+    upsert_keyed_table(spark, path, rows.where(later))
+    return read_keyed_table(spark, path, rows.schema)
+
+
+@query(with_enriched("select cc_num, trans_time, trans_num, amt from enriched order by 1, 2 desc, 3 desc, 4 desc"))
+def clustered_history(spark, sf_dir):
+    """The history of every card from a stored table laid out by card."""
+    path = scratch_path(spark, "clustered")
+    save_table(cluster_by_card(enriched(spark, sf_dir)), path=path)
+    stored = load_table(spark, path=path).select("cc_num", "trans_time", "trans_num", "amt")
+    return card_history(stored, ties=["trans_num", "amt"])

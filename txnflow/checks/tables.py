@@ -1,7 +1,5 @@
 """Customers, transactions and messages derived from the test tables."""
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,23 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a stream, be it one file, spread over all cores, or a folder of files."""
-    path = f"{sf_dir}/{name}.parquet"
+    """A test table as a stream, be it one file or a folder of files."""
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 100)
-    if os.path.isfile(path):
-        rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-        return rows.repartition(spark.sparkContext.defaultParallelism)
-    return reader.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it comes from fewer files than there are cores.
-
-    A small test table is one file of one row group, which keeps a single core busy. Tables of many files are
-    left as they are read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def _thousandths(start: int, number: str, factor: int, span: int):
@@ -94,8 +78,6 @@ def transactions(spark: SparkSession, sf_dir: str, columns=RAW, lines: DataFrame
         ("supplier", _FROM_SUPPLIER, "l_suppkey", "s_suppkey"),
     ] if any(c in provided for c in columns)]
     rows = table(spark, sf_dir, "lineitem") if lines is None else lines
-    if lines is None and needed:
-        rows = spread(rows)
     for name, left, right in needed:
         rows = rows.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
     return rows.select(*[F.expr(made[c]).alias(c) for c in columns])

@@ -10,8 +10,9 @@ def date_prefix(column: str | Column) -> Column:
 
 
 def parse_time(text: Column, time_type: str = "timestamp") -> Column:
-    """Text to time; NULL where it does not parse, also under ANSI mode."""
-    return text.try_cast(time_type)
+    """Text to time; NULL where it does not parse, also under ANSI mode, and where there is no date: Spark would read a time
+    alone as today."""
+    return F.when(F.trim(text).rlike("^[+-]?[0-9]{4,}"), text.try_cast(time_type))
 
 
 def normalize_time(df: DataFrame, time_type: str = "timestamp") -> DataFrame:

@@ -11,20 +11,21 @@ from txnflow.operators.keyed import latest_by_key
 from txnflow.operators.route import route_of
 from txnflow.operators.sizing import BROADCAST_LIMIT_BYTES
 from txnflow.schemas import CUSTOMER, CUSTOMER_KEY, LABELLED_TRANSACTION, TRANSACTION_KEY
-from txnflow.sinks.tables import save_routes, save_table
-from txnflow.sources.tables import read_csv
+from txnflow.sinks.tables import save_routes, save_routes_apart, save_table
+from txnflow.sources.tables import load_table, read_csv
+from txnflow.workspace import materialize
 
 
 def import_transactions(transactions: DataFrame, customers: DataFrame, as_of=None, time_type: str = "timestamp",
-                        counts: Observation | None = None,
+                        counts: Observation | None = None, cards: Observation | None = None,
                         broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Rows of both keyed transaction tables, tagged with ``route``.
 
     Raw times are combined, rows enriched and routed by label, and per route one row is kept for each card
     and time. Up to there all is one pass without a shuffle if the customers fit a broadcast. ``counts``
-    receives the fields of :class:`ImportCounts` from that pass.
+    receives the fields of :class:`ImportCounts` from that pass but the cards', which go to ``cards``.
     """
-    enriched = enrich(normalize_time(transactions, time_type), customers, as_of, broadcast_limit=broadcast_limit)
+    enriched = enrich(normalize_time(transactions, time_type), customers, as_of, broadcast_limit=broadcast_limit, counts=cards)
     tagged = enriched.withColumn("route", route_of())
     has_route, has_time = F.col("route").isNotNull(), F.col("trans_time").isNotNull()
     if counts is not None:
@@ -40,22 +41,39 @@ def import_transactions(transactions: DataFrame, customers: DataFrame, as_of=Non
 @dataclass
 class ImportCounts:
     """Enriched rows: ``routed`` ones with a complete key, ``unrouted`` ones with a label other than 0 and 1,
-    and ``rejected`` ones, which have no usable time and so no key. Only the first are stored."""
+    and ``rejected`` ones, which have no usable time and so no key. Only the first are stored. ``unknown_card``
+    counts rows whose card has no customer; those without a card aren't counted anywhere."""
 
     routed: int
     unrouted: int
     rejected: int
+    unknown_card: int
 
 
-def run_import(spark: SparkSession, transactions_path: str, customers_path: str, output: str,
-               as_of=None, time_type: str = "timestamp") -> ImportCounts:
-    """CSV files to the tables ``customer`` and ``transaction`` (partitioned by route) below ``output``."""
-    customers = read_csv(spark, customers_path, CUSTOMER)
-    transactions = read_csv(spark, transactions_path, LABELLED_TRANSACTION)
+def run_import(spark: SparkSession, transactions_path: str, customers_path: str, output: str, as_of=None,
+               time_type: str = "timestamp", source: tuple[str, dict] | None = None, target: str = "parquet",
+               targets: dict[str, dict] | None = None) -> ImportCounts:
+    """Raw tables to ``customer`` and ``transaction`` (partitioned by route) below ``output``.
+
+    The input is CSV with a header, or with ``source`` any other (format, options) with the same columns. ``target`` is the format of
+    what is written. A target without folders takes the options of its tables ``customer``, ``fraud`` and ``non_fraud`` from
+    ``targets``; the routes are then written apart.
+    """
+    if source is None:
+        customers, transactions = read_csv(spark, customers_path, CUSTOMER), read_csv(spark, transactions_path, LABELLED_TRANSACTION)
+    else:
+        fmt, options = source
+        customers = load_table(spark, fmt, CUSTOMER, path=customers_path, **options)
+        transactions = load_table(spark, fmt, LABELLED_TRANSACTION, path=transactions_path, **options)
     # Stored with one row per card, but joined as they are in the input.
     others = [c for c in customers.columns if c not in CUSTOMER_KEY]
-    save_table(latest_by_key(customers, CUSTOMER_KEY, others), path=f"{output}/customer")
-    counts = Observation("import")
-    rows = import_transactions(transactions, customers, as_of, time_type, counts)
-    save_routes(rows, path=f"{output}/transaction")
-    return ImportCounts(**counts.get)
+    holders = latest_by_key(customers, CUSTOMER_KEY, others)
+    save_table(holders, target, **(targets["customer"] if targets else {"path": f"{output}/customer"}))
+    counts, cards = Observation("import"), Observation("cards")
+    rows = import_transactions(transactions, customers, as_of, time_type, counts, cards)
+    if targets:
+        # Stored first, since each route's write passes over the rows, and the counts are of one pass.
+        save_routes_apart(materialize(rows, "imported"), targets, target)
+    else:
+        save_routes(rows, target, path=f"{output}/transaction")
+    return ImportCounts(**counts.get, unknown_card=cards.get["unknown_card"])

@@ -1,13 +1,19 @@
 """Streaming sinks, and starting, awaiting and stopping queries."""
 
+import json
+import time
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from txnflow.operators.keyed import latest_by_key
 from txnflow.operators.route import route_by_label
-from txnflow.schemas import LABEL, TRANSACTION_KEY, TRANSACTION_TIES
+from txnflow.schemas import FRAUD, LABEL, NON_FRAUD, TRANSACTION_KEY, TRANSACTION_TIES
+from txnflow.sinks.keyed import notes_of, upsert_keyed_table
 from txnflow.sinks.tables import save_routes, save_table
 
 
@@ -23,24 +29,50 @@ def start_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def _tie(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Bind ``path`` to one checkpoint: another one would number its batches from 0 and replace stored ones."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    mark = make(f"{path}/_bound/checkpoint")
+    files = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(mark):
+        bound = json.loads(spark.read.option("wholetext", True).text(f"{path}/_bound/checkpoint").first()[0])["checkpoint"]
+        if bound != checkpoint:
+            raise ValueError(f"{path} holds the batches of checkpoint {bound}, not of {checkpoint}")
+        return
+    draft = make(f"{path}/_bound/draft-{uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(json.dumps({"checkpoint": checkpoint}).encode()))
+    stream.close()
+    if not files.rename(draft, mark):
+        raise RuntimeError(f"another query has just been bound to {path}")
+
+
 def start_routed(stream: DataFrame, path: str, checkpoint: str | None = None, label: str = LABEL,
-                 name: str | None = None, **trigger) -> StreamingQuery:
+                 name: str | None = None, fmt: str = "parquet", options: dict | None = None, **trigger) -> StreamingQuery:
     """Both routes of a stream from one query, each batch once as ``batch_id=<n>/route=<route>`` below ``path``.
 
-    Repeating a batch overwrites its own folder, so no row is stored twice. The checkpoint numbers the
-    batches and therefore belongs to ``path``, where it is kept unless given.
+    Repeating a batch overwrites its own folder, so no row is stored twice. The checkpoint numbers the batches and therefore
+    belongs to ``path``, where it is kept unless given; a ``path`` with batches of another checkpoint is refused.
     """
     routed = route_by_label(stream, label, rest_is_negative=True)
+    checkpoint = checkpoint or f"{path}/_checkpoint"
+    _tie(stream.sparkSession, path, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        save_routes(batch, path=f"{path}/batch_id={batch_id}")
+        save_routes(batch, fmt, path=f"{path}/batch_id={batch_id}", **(options or {}))
+
+    return start_batches(routed, write, checkpoint, name, **trigger)
 
-    return start_batches(routed, write, checkpoint or f"{path}/_checkpoint", name, **trigger)
 
+def routed_schema(schema: StructType) -> StructType:
+    """The schema of a routed stream's stored rows, given that of the stream."""
+    return StructType([*schema.fields, StructField("batch_id", LongType()), StructField("route", StringType())])
 
-def read_routed(spark: SparkSession, path: str, schema) -> DataFrame:
+
+def read_routed(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
     """All stored rows of a routed stream with ``batch_id`` and ``route``."""
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    return spark.read.format(fmt).schema(schema).option("basePath", path).load(path)
 
 
 def keyed_view(routed: DataFrame, keys=TRANSACTION_KEY, order=TRANSACTION_TIES) -> DataFrame:
@@ -48,8 +80,25 @@ def keyed_view(routed: DataFrame, keys=TRANSACTION_KEY, order=TRANSACTION_TIES)
     return latest_by_key(routed, ["route", *keys], ["batch_id", *order])
 
 
+def fold(routed: DataFrame, tables: str, keys=TRANSACTION_KEY, order=TRANSACTION_TIES) -> None:
+    """Write the batches since the last fold into the keyed tables ``fraud`` and ``non_fraud`` below ``tables``.
+
+    Only new batches are read and only their days written anew. The number of the last batch comes into force with its rows, so a
+    fold that failed is simply repeated.
+    """
+    spark = routed.sparkSession
+    for route in (FRAUD, NON_FRAUD):
+        path = f"{tables}/{route}"
+        last = notes_of(spark, path).get("batch_id", -1)
+        new = routed.where((F.col("route") == route) & (F.col("batch_id") > last))
+        newest = new.agg(F.max("batch_id")).first()[0]
+        if newest is not None:
+            rows = latest_by_key(new.where(F.col("batch_id") <= newest), keys, ["batch_id", *order])
+            upsert_keyed_table(spark, path, rows.drop("batch_id", "route"), keys, order, {"batch_id": newest})
+
+
 def compact(routed: DataFrame, target: str, keys=TRANSACTION_KEY, order=TRANSACTION_TIES) -> None:
-    """Store the keyed view as a table at ``target``, a new path: readers of the batches are not disturbed."""
+    """Store the keyed view as one table at ``target``, a new path. For regular use see :func:`fold`."""
     save_table(keyed_view(routed, keys, order).drop("batch_id"), mode="error", partition_by=["route"], path=target)
 
 
@@ -79,9 +128,22 @@ def read_named(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def await_all(spark: SparkSession, timeout: float | None = None) -> bool:
-    """Wait for the end of every active query, each for ``timeout`` seconds; False if one still runs."""
-    ended = [query.awaitTermination(timeout) for query in spark.streams.active]
-    return all(e is not False for e in ended)
+    """Wait until every query has ended, ``timeout`` seconds at most for all together; False if one still runs.
+
+    The failure of any query is raised as soon as it happens.
+    """
+    deadline = None if timeout is None else time.monotonic() + timeout
+    while active := spark.streams.active:
+        left = None if deadline is None else deadline - time.monotonic()
+        if left is not None and left <= 0:
+            return False
+        for query in active:
+            if query.awaitTermination(min(0.1, left) if left is not None else 0.1):
+                break
+        for query in active:
+            if not query.isActive and query.exception():
+                raise query.exception()
+    return True
 
 
 def stop_all(spark: SparkSession) -> None:
