@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from txnflow.llm import decontamination, html_template, language_id, ngram_join, packing, pii, quality_rules, quotes, suffix_array, token_counts
+from txnflow.workspace import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +40,8 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token totals at every encoded length of the documents."""
-    return token_counts.suffix_sums(token_counts.histogram(_table(spark, sf_dir, "documents").select("text")))
+    # Stored, since the sums read it several times.
+    return token_counts.suffix_sums(materialize(token_counts.histogram(_table(spark, sf_dir, "documents").select("text")), "lengths"))
 
 
 @query()
