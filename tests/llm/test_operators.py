@@ -333,6 +333,19 @@ def test_template_of_a_host_without_articles(spark):
     assert {r.page_id: r.text for r in found.collect()} == expected
 
 
+def test_copies_on_a_host_are_kept(spark):
+    rnd = random.Random(4)
+    say = lambda n: " ".join(f"w{rnd.randrange(1000)}" for _ in range(n))
+    rows, expected, copy = [], {}, say(50)
+    for i in range(30):
+        text = copy if i < 18 else say(50)
+        rows.append((i, f"https://h.example/{i}", page(f"<div class='strip'>Stay with us</div><div class='date'>day {i}</div><div class='story'><p>{text}</p></div>")))
+        expected[i] = f"day {i}\n\n{text}"
+    rows += [(40, None, page(f"<p>{copy}</p>"))] * 3
+    found = [(r.page_id, r.text) for r in html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()]
+    assert sorted(found) == sorted([*expected.items(), *[(40, copy)] * 3])
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 

@@ -1,25 +1,26 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-1. Each page gives tokens: the paths of its container elements (``div.ad`` in ``body``), how often each occurs, and how much text
-   and link text stands directly in it. A page's tokens are few, however long it is.
-2. Tokens of one host with the same occurrence vector over the host's pages form an equivalence class. Vectors are
-   compared by a sum of hashes of (page, count), so that no host's pages meet in one task. A class is valid if enough of the host's
-   pages hold it; valid classes, nested by their paths, are the template, and the text between their tokens its slots.
-3. A slot is boilerplate if its element says so (navigation, adverts, forms, comments), if it shows the same text on
-   its pages, or if it consists of links; it is main if it lies in an article. What lies in no valid class goes with the slot around.
-4. Pages are cut along the template of their host: main slots if there are any, else the slots with most text.
+1. Each page gives tokens: the paths of its container elements (``div.ad`` in ``body``) with the text and link text that stands
+   directly in them, and the texts in them. The slot with most text outside links leads its page; its texts are no tokens.
+2. Tokens of one host that occur on the same pages form an equivalence class. A text occurs only where its slot does, so it
+   is in the slot's class exactly if both are on equally many pages; counts stand for occurrence vectors. Pages whose leading
+   slots say the same (copies, mirrors, print versions) count as one. A slot is valid if enough of the host's pages hold it.
+3. Texts in the class of their slot, or on a good part of its pages, are the template's. Those of a slot that leads its pages
+   never are. Names (navigation, adverts, forms, comments, articles) come before that, and slots of links are navigation.
+4. A slot that isn't valid is judged by its own page.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by two newlines. Scripts, styles,
 comments in markup and everything before the body are dropped. A missing or empty page, or one without text, gives an empty
 text. A page whose address has no host is a host of its own. Repeated pages are extracted each by itself.
 """
 
+import hashlib
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ from txnflow.workspace import materialize
 
 #: A class is valid if this share of the host's pages hold it, and two of them at least.
 SUPPORT = 0.1
-#: A slot with the same text on this share of at least ``STATIC_PAGES`` pages belongs to the template.
+#: If this share of a slot's pages, and ``STATIC_PAGES`` at least, show the same text, its repeated texts belong to the template.
 STATIC, STATIC_PAGES = 0.5, 3
+#: A slot that has most text on this share of its pages holds the content; its texts are never the template's.
+LEADS = 0.5
 #: A slot with more of its text in links than this is navigation.
 LINKS = 0.5
 #: Without an article, slots with at least this share of the largest slot's text are kept.
@@ -48,7 +51,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Start tags that end an open paragraph or an element of their own kind.
 _ENDS_ITSELF = frozenset("li dt dd tr td th option".split())
 _BOILERPLATE = frozenset(
-    "nav navigation navbar menu header masthead footer aside sidebar ad ads advert adverts advertisement advertising sponsor sponsored banner promo "
+    "nav navigation navbar menu header masthead footer aside side sidebar ad ads advert adverts advertisement advertising sponsor sponsored banner promo "
     "cookie cookies consent gdpr notice notices popup modal overlay form login signup subscribe newsletter comment comments commentlist "
     "disqus respond related recommended share sharing social breadcrumb breadcrumbs pagination pager widget toolbar skip complementary "
     "contentinfo search".split())
@@ -142,21 +145,41 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
     yield from flush()
 
 
-def _page_tokens(page: str | None) -> dict[str, list]:
-    """path -> occurrences of text in it, its characters, those in links, and a text that stands for it."""
-    found: dict[str, list] = {}
-    for path, text, linked in blocks(page):
-        own = found.setdefault(path, [0, 0, 0, ""])
-        own[0] += 1
-        own[1] += len(text)
-        own[2] += linked
-        own[3] = f"{hash_text(own[3] + text)}"
-    return found
+def _slots(found: list[tuple[str, str, int]]) -> dict[str, list[int]]:
+    """path -> characters of the blocks that stand there, and those in links."""
+    sizes: dict[str, list[int]] = {}
+    for path, text, linked in found:
+        own = sizes.setdefault(path, [0, 0])
+        own[0] += len(text)
+        own[1] += linked
+    return sizes
 
 
-def hash_text(text: str) -> int:
-    raw = text.encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) << 32 | zlib.adler32(raw)
+def _leading(sizes: dict[str, list[int]]) -> set[str]:
+    """The slots with most text outside links, of those that aren't boilerplate by their names."""
+    free = {p: chars - linked for p, (chars, linked) in sizes.items() if chars > linked and role_of(p) != "boilerplate"}
+    most = max(free.values(), default=0)
+    return {p for p, n in free.items() if n == most}
+
+
+def hash_text(*texts: str) -> int:
+    raw = "\n\n".join(texts).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
+
+
+def _page_tokens(page: str | None) -> tuple[int, list[tuple]]:
+    """What tells the page's content from others, and its tokens: path, text, characters, those in links, whether the slot leads.
+
+    The token without a path is the page's own, those without a text are slots, the others the texts in slots that don't lead.
+    """
+    found = list(blocks(page))
+    sizes = _slots(found)
+    leading = _leading(sizes)
+    content = hash_text(*(t for p, t, _ in found if p in leading)) if leading else hash_text(page or "")
+    tokens = [(None, None, 0, 0, 0)]
+    tokens += [(p, None, *sizes[p], int(p in leading)) for p in sizes if role_of(p) != "boilerplate"]
+    tokens += [(p, h, 0, 0, 0) for p, h in {(p, hash_text(t)) for p, t, _ in found if p not in leading and role_of(p) != "boilerplate"}]
+    return content, tokens
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -166,62 +189,66 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: its slots with their verdict, as JSON; pages: page_id, html, host."""
+    """host, template: its slots with their verdict, as JSON; pages: html, host."""
+    fields = {"content": "bigint", "path": "string", "shown": "bigint", "chars": "bigint", "linked": "bigint", "leads": "bigint"}
+
     def made(texts: list[str | None]) -> Iterator:
-        rows = [(k, p, *v) for k, t in enumerate(texts) for p, v in _page_tokens(t).items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        yield columns[0], dict(zip(("path", "n", "chars", "linked", "shown"), columns[1:], strict=True))
-
-    fields = {"path": "string", "n": "bigint", "chars": "bigint", "linked": "bigint", "shown": "string"}
-    tokens = map_texts(pages, "html", made, fields, ["host", "page_id"]).select("row.*", *fields)
-    # How many pages show a text: pages are counted for each text first, so that a frequent one is added up in its tasks.
-    vector = F.sum(F.xxhash64("page_id", "n").cast("decimal(38,0)"))
-    shown = tokens.groupBy("host", "path", "shown").agg(
-        F.count(F.lit(1)).alias("pages"), vector.alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    stats = shown.groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), F.max("pages").alias("alike"), F.sum("vector").alias("vector"),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    # All tokens of a class are on equally many pages, so a class is valid or not token by token.
-    valid = stats.join(sizes, "host").where(
+        rows = [(k, content, *t) for k, (content, tokens) in enumerate(map(_page_tokens, texts)) for t in tokens]
+        columns = list(zip(*rows, strict=True)) or [()] * (1 + len(fields))
+        yield columns[0], dict(zip(fields, columns[1:], strict=True))
+
+    tokens = map_texts(pages, "html", made, fields, ["host"]).select("row.*", *fields)
+    # Copies count once: pages of a host with the same content give one row for each token.
+    once = tokens.groupBy("host", "content", "path", "shown").agg(*(F.max(c).alias(c) for c in ("chars", "linked", "leads")))
+    counts = materialize(once.groupBy("host", "path", "shown").agg(
+        F.count(F.lit(1)).alias("pages"), *(F.sum(c).alias(c) for c in ("chars", "linked", "leads"))), "tokens")
+    sizes = counts.where("path is null").select("host", F.col("pages").alias("host_pages"))
+    slots = counts.where("path is not null and shown is null").join(sizes, "host").where(
         (F.col("pages") >= SUPPORT * F.col("host_pages")) & ((F.col("pages") > 1) | (F.col("host_pages") == 1)))
-    classes = valid.groupBy("host", "vector").agg(F.collect_list(F.struct("path", "pages", "alike", "chars", "linked")).alias("members"))
-    static = (F.col("m.pages") >= STATIC_PAGES) & (F.col("m.alike") >= STATIC * F.col("m.pages"))
-    slots = classes.select("host", F.explode("members").alias("m")).select(
-        "host", F.struct(F.col("m.path"), (F.col("m.chars") / F.col("m.pages")).alias("mean"),
-                         (static | (F.col("m.linked") > LINKS * F.col("m.chars"))).alias("fixed")).alias("slot"))
+    slots = materialize(slots.select("host", "path", "pages", (F.col("linked") > LINKS * F.col("chars")).alias("links"),
+                                     (F.col("leads") >= LEADS * F.col("pages")).alias("leads")), "slots")
+    shown = counts.where("shown is not null").select("host", "path", "shown", F.col("pages").alias("alike")).where("alike > 1")
+    often = shown.join(broadcast_if_small(slots.where("not leads").select("host", "path", "pages")), ["host", "path"]).where(
+        F.col("alike") >= SUPPORT * F.col("pages"))
+    # At most 1 / SUPPORT texts for each block of a page are left of a slot.
+    texts = often.groupBy("host", "path").agg(F.max("alike").alias("most"), F.max("pages").alias("held"), F.collect_list("shown").alias("texts"))
+    static = texts.where((F.col("most") >= STATIC_PAGES) & (F.col("most") >= STATIC * F.col("held"))).select("host", "path", "texts")
+    slots = slots.join(static, ["host", "path"], "left").select("host", F.struct("path", "links", "leads", "texts").alias("slot"))
     return slots.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("slot"))).alias("template"))
 
 
+class Slot(NamedTuple):
+    links: bool
+    leads: bool
+    texts: frozenset[int]
+
+
 @lru_cache(1024)
-def verdicts(template: str) -> dict[str, bool]:
-    """path -> whether its text is kept, for the slots of a template."""
-    slots = {s.get("path", ""): (s["mean"], s["fixed"]) for s in json.loads(template)}
-    roles = {p: role_of(p) for p in slots}
-    if "main" in roles.values():
-        return {p: r == "main" for p, r in roles.items()}
-    open_slots = {p: mean for p, (mean, fixed) in slots.items() if not fixed and not roles[p]}
-    most = max(open_slots.values(), default=0)
-    best = {p for p, mean in open_slots.items() if mean == most}
-    return {p: p in open_slots and (open_slots[p] >= SHARE * most or any(p.startswith(b + "/") for b in best if b)) for p in slots}
+def verdicts(template: str) -> dict[str, Slot]:
+    """path -> whether it consists of links, whether it leads its pages, and the texts in it that are the template's."""
+    return {s.get("path", ""): Slot(s["links"], s["leads"], frozenset(s.get("texts", ()))) for s in json.loads(template)}
 
 
 def extracted(page: str | None, template: str | None) -> str:
     """The page's blocks in main slots."""
     known = verdicts(template or "[]")
     found = list(blocks(page))
+    sizes = _slots(found)
     kept = []
     main_here = any(role_of(p) == "main" for p, _, _ in found)
+    main_known = any(role_of(p) == "main" for p in known)
     for path, text, _ in found:
-        role, at = role_of(path), path
+        role, slot = role_of(path), known.get(path)
         if role == "boilerplate":
             continue
         if main_here:
             keep = role == "main"
+        elif main_known and slot:
+            keep = role == "main"
         else:
-            while at and at not in known:
-                at = at.rpartition("/")[0]
-            keep = known.get(at, True)
+            chars, linked = sizes[path]
+            links = slot.links if slot else linked > LINKS * chars
+            keep = not links and not (slot and slot.texts and hash_text(text) in slot.texts)
         if keep:
             kept.append(text)
     return "\n\n".join(kept)
