@@ -346,6 +346,20 @@ def test_copies_on_a_host_are_kept(spark):
     assert sorted(found) == sorted([*expected.items(), *[(40, copy)] * 3])
 
 
+def test_template_inside_articles(spark):
+    rnd = random.Random(5)
+    say = lambda n: " ".join(f"w{rnd.randrange(1000)}" for _ in range(n))
+    rows, expected = [], {}
+    for i in range(20):
+        text, own = say(50), say(6)
+        rows.append((i, f"https://h.example/{i}", page(
+            f"<article><h2 class='part'>Summary</h2><p>{text}</p><div class='box'><p>We keep small files on your machine</p></div>"
+            f"<div class='rotating'>{'Buy this' if i % 3 else 'Buy that'}</div><div class='box'><p>{own}</p></div></article>")))
+        expected[i] = f"Summary\n\n{text}\n\n{own}"
+    found = html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == expected
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 

@@ -6,7 +6,9 @@
    is in the slot's class exactly if both are on equally many pages; counts stand for occurrence vectors. Pages whose leading
    slots say the same (copies, mirrors, print versions) count as one. A slot is valid if enough of the host's pages hold it.
 3. Texts in the class of their slot, or on a good part of its pages, are the template's. Those of a slot that leads its pages
-   never are. Names (navigation, adverts, forms, comments, articles) come before that, and slots of links are navigation.
+   never are. This holds inside articles too, but for headings, lists and cells there. Names are hints: what is called
+   navigation, advert, form or comments goes; where a page has an article, what lies outside it stays only if it leads its
+   pages; elsewhere slots of links are navigation.
 4. A slot that isn't valid is judged by its own page.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by two newlines. Scripts, styles,
@@ -56,6 +58,13 @@ _BOILERPLATE = frozenset(
     "disqus respond related recommended share sharing social breadcrumb breadcrumbs pagination pager widget toolbar skip complementary "
     "contentinfo search".split())
 _MAIN = frozenset("article main".split())
+#: Parts of an article's own text, such as a heading that many articles of a host share.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dl dt dd tr th td thead tbody caption figcaption summary".split())
+
+
+def _tag(path: str) -> str:
+    """The name of the element a path ends in."""
+    return path.rpartition("/")[2].partition(".")[0]
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -242,13 +251,14 @@ def extracted(page: str | None, template: str | None) -> str:
         if role == "boilerplate":
             continue
         if main_here:
-            keep = role == "main"
+            keep = role == "main" or bool(slot and slot.leads and not slot.links)
         elif main_known and slot:
             keep = role == "main"
         else:
             chars, linked = sizes[path]
-            links = slot.links if slot else linked > LINKS * chars
-            keep = not links and not (slot and slot.texts and hash_text(text) in slot.texts)
+            keep = not (slot.links if slot else linked > LINKS * chars)
+        if keep and slot and slot.texts and not (role == "main" and _tag(path) in _PARTS):
+            keep = hash_text(text) not in slot.texts
         if keep:
             kept.append(text)
     return "\n\n".join(kept)
