@@ -360,6 +360,18 @@ def test_template_inside_articles(spark):
     assert {r.page_id: r.text for r in found.collect()} == expected
 
 
+def test_layouts_of_a_host_are_judged_apart(spark):
+    rnd = random.Random(6)
+    say = lambda n: " ".join(f"w{rnd.randrange(1000)}" for _ in range(n))
+    rows, expected = [], {}
+    for i in range(30):
+        expected[i] = say(40)
+        inner = f"<article><p>{expected[i]}</p></article>" if i % 3 else f"<div class='content'><p>{expected[i]}</p></div>"
+        rows.append((i, f"https://h.example/{i}", page(f"<div class='top'><a href='/'>home</a></div>{inner}<div class='legal'>All rights kept</div>")))
+    found = html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == expected
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 

@@ -7,7 +7,7 @@
    slots say the same (copies, mirrors, print versions) count as one. A slot is valid if enough of the host's pages hold it.
 3. Texts in the class of their slot, or on a good part of its pages, are the template's. Those of a slot that leads its pages
    never are. This holds inside articles too, but for headings, lists and cells there. Names are hints: what is called
-   navigation, advert, form or comments goes; where a page has an article, what lies outside it stays only if it leads its
+   navigation, advert, form or comments goes; where the page itself has an article, what lies outside it stays only if it leads its
    pages; elsewhere slots of links are navigation.
 4. A slot that isn't valid is judged by its own page.
 
@@ -245,15 +245,12 @@ def extracted(page: str | None, template: str | None) -> str:
     sizes = _slots(found)
     kept = []
     main_here = any(role_of(p) == "main" for p, _, _ in found)
-    main_known = any(role_of(p) == "main" for p in known)
     for path, text, _ in found:
         role, slot = role_of(path), known.get(path)
         if role == "boilerplate":
             continue
         if main_here:
             keep = role == "main" or bool(slot and slot.leads and not slot.links)
-        elif main_known and slot:
-            keep = role == "main"
         else:
             chars, linked = sizes[path]
             keep = not (slot.links if slot else linked > LINKS * chars)
