@@ -372,6 +372,18 @@ def test_layouts_of_a_host_are_judged_apart(spark):
     assert {r.page_id: r.text for r in found.collect()} == expected
 
 
+@pytest.mark.parametrize("markup,expected", [
+    ("<html><head><title>T</title><body><article><p>one</p></article>", "one"), ("<head><meta charset='x'><p>one", "one"),
+    ("<p>one<svg class='i'/><p>two</p>", "one\n\ntwo"), ("<p>one<svg><path d='x'><p>two</p><svg><text>no</text></svg>three", "one\n\ntwo\n\nthree"),
+    ("<p>a<svg><title>no</title><text>no</text></svg>b</p>", "ab"), ("<noscript><p>one</p></noscript>", "one"),
+    ("<p>one<select><option>no<p>two", "one\n\ntwo"), ("<p>one</p><select><option>no</select><p>two", "one\n\ntwo"),
+    ("<p>one</p><template><p>no</p></template>two", "one\n\ntwo"), ("<p>one</p><template><p>two", "one\n\ntwo"),
+    ("<title-bar>one</title-bar><p>two", "one\n\ntwo"), ("<p>one<!-->two<!-- no -->", "onetwo"), ("<p>one</p><script>no<p>no", "one"),
+    ("<p>one</p><style>no</style ><iframe>no</iframe>two", "one\n\ntwo")])
+def test_elements_left_open(markup, expected):
+    assert "\n\n".join(t for _, t, _ in html_template.blocks(markup)) == expected
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 

@@ -12,7 +12,8 @@
 4. A slot that isn't valid is judged by its own page.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by two newlines. Scripts, styles,
-comments in markup and everything before the body are dropped. A missing or empty page, or one without text, gives an empty
+titles, comments in markup, drawings, templates and choices of forms are dropped, to the end of the page only where HTML says so (scripts, styles,
+titles, frames and text areas that aren't closed). A missing or empty page, or one without text, gives an empty
 text. A page whose address has no host is a host of its own. Repeated pages are extracted each by itself.
 """
 
@@ -43,13 +44,18 @@ LINKS = 0.5
 SHARE = 0.2
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|head|title|select|textarea)\b.*?(?:</\1\s*>|$)|<[!?][^>]*>"
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<(script|style|title|textarea|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|$)|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"'<]+|"[^"<]*"|'[^'<]*'|["'])*+)>""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_CONTAINERS = frozenset("html body div section article main nav header footer aside form".split())
+_CONTAINERS = frozenset("html body div section article main nav header footer aside form noscript".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody caption blockquote pre figure "
                                   "figcaption address fieldset details summary hr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_NAMES = "|".join(sorted(_BLOCKS - {"hr"}))
+#: Elements without text of the page, and where they end; one that is never closed drops nothing.
+_SKIPPED = {tag: re.compile(end, re.I) for tag, end in {
+    "svg": rf"</svg\s*>|(?=</?(?:{_NAMES})[\s/>])", "select": rf"</select\s*>|(?=</?(?:{_NAMES}|input|textarea|button)[\s/>])",
+    "template": r"</template\s*>"}.items()}
 #: Start tags that end an open paragraph or an element of their own kind.
 _ENDS_ITSELF = frozenset("li dt dd tr td th option".split())
 _BOILERPLATE = frozenset(
@@ -96,7 +102,7 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
     """(path, text, characters in links) of each block of a page, in order."""
     open_tags: list[tuple[str, str]] = []  # tag, path of the container it is or stands in
     links, parts, linked, last = 0, [], 0, 0
-    page = page or ""
+    page, endless = page or "", set()
 
     def path() -> str:
         return open_tags[-1][1] if open_tags else ""
@@ -110,6 +116,9 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
         linked = 0
 
     for m in _TOKEN.finditer(page):
+        if m.start() < last:  # in a skipped element
+            last = max(last, m.end())
+            continue
         if m.start() > last:
             parts.append(page[last:m.start()])
             linked += (m.start() - last) * (links > 0)
@@ -117,6 +126,13 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if tag in _SKIPPED:
+            if not m[2] and not (tag == "svg" and m[4].endswith("/")) and tag not in endless:
+                if end := _SKIPPED[tag].search(page, last):
+                    last = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag in _BLOCKS:
             yield from flush()
         elif tag == "br":
