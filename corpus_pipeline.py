@@ -13,6 +13,8 @@ from txnflow.workspace import materialize
 
 #: Documents whose nearest language profile is farther than this are rejected, as are those without a letter.
 LEAST_SCORE = 0.15
+#: Near copies: documents that share this percentage of their shingles of so many words.
+SHINGLE_WORDS, ALIKE_PERCENT = 5, 80
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, n=SHINGLE_WORDS, percent=ALIKE_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,15 @@ def test_stages_keep_the_columns_and_take_effect(spark, edges, edge_rows, sf_dir
     assert not left & {0, 1, 2, 6, 9}  # without a letter, or a copy
 
 
+def test_near_copies_are_those_of_five_words(spark, sf_dir):
+    words = [f"v{i}" for i in range(50)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:25], "z", *words[26:]])), (3, " ".join([*words[:20], "z", *words[21:25], "y", *words[26:]]))]
+    groups = brute.ngram_links(docs, 5, 80)
+    assert groups != brute.ngram_links(docs)
+    kept = corpus_pipeline.distinct(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
+
+
 def test_pipeline_equals_plain_stages(spark, sf_dir):
     rows = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     found = [r.asDict() for r in entry.queries()["pipeline"](spark, sf_dir).collect()]
