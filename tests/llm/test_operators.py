@@ -384,6 +384,23 @@ def test_elements_left_open(markup, expected):
     assert "\n\n".join(t for _, t, _ in html_template.blocks(markup)) == expected
 
 
+def test_names_that_only_sound_like_boilerplate(spark):
+    rnd = random.Random(7)
+    say = lambda n: " ".join(f"w{rnd.randrange(1000)}" for _ in range(n))
+    frames = ["<div class='layout has-sidebar'><article>{}</article></div>", "<div class='page no-comments'><div class='text'>{}</div></div>",
+              "<article class='post comment-open'>{}</article>", "<div class='sidebar'><article>{}</article></div>", "<form><main>{}</main></form>",
+              "<div class='story'><h1 class='title'>Once</h1><div class='text'>{}</div></div>",
+              "<article>{}</article><section class='comments'><article class='comment'>reader</article><article>other</article></section>",
+              "<div class='text'>{}</div><aside><article>teaser</article></aside><div class='comment-list'>reader</div><div id='cookie-bar'>files</div>"]
+    texts = [say(30) for _ in range(3 * len(frames))]
+    rows = [(i, f"https://h{i % len(frames)}.example/{i}", page(frames[i % len(frames)].format(t))) for i, t in enumerate(texts)]
+    expected = {i: "Once\n\n" * (i % len(frames) == 5) + t for i, t in enumerate(texts)}
+    rows = [(i, u, h.replace("Once", say(2)) if i % len(frames) == 5 else h) for i, u, h in rows]
+    expected = {i: t if i % len(frames) != 5 else re.search("title'>([^<]*)", rows[i][2])[1] + t[4:] for i, t in expected.items()}
+    found = html_template.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == expected
+
+
 def test_pages_equal_their_articles(spark, sf_dir):
     from html import unescape
 

@@ -63,6 +63,9 @@ _BOILERPLATE = frozenset(
     "cookie cookies consent gdpr notice notices popup modal overlay form login signup subscribe newsletter comment comments commentlist "
     "disqus respond related recommended share sharing social breadcrumb breadcrumbs pagination pager widget toolbar skip complementary "
     "contentinfo search".split())
+#: Words that a boilerplate name may have besides.
+_BOILERPLATE_PARTS = _BOILERPLATE | frozenset(
+    "main site global primary secondary bar box block list area section slot unit link links posts item items button buttons thread reply replies".split())
 _MAIN = frozenset("article main".split())
 #: Parts of an article's own text, such as a heading that many articles of a host share.
 _PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dl dt dd tr th td thead tbody caption figcaption summary".split())
@@ -82,20 +85,34 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join([tag, *words])
 
 
+def _names_boilerplate(name: str) -> bool:
+    """Whether all of a class name says so: ``sidebar`` and ``comment-list`` do, ``has-sidebar`` and ``comment-open`` don't."""
+    parts = [w for w in re.split(r"[-_:]+", name) if w]
+    return not _BOILERPLATE.isdisjoint(parts) and _BOILERPLATE_PARTS.issuperset(parts)
+
+
 @lru_cache(1 << 16)
 def role_of(path: str) -> str:
-    """``main``, ``boilerplate`` or nothing, from the names along a path; a header inside an article is part of it."""
-    role = ""
+    """``main``, ``inner`` (an article in boilerplate), ``boilerplate`` or nothing, from the names along a path.
+
+    A header inside an article is part of it.
+    """
+    role, hidden = "", False
     for label in path.split("/"):
-        tag, *marks = label.split(".")
-        names = {tag, *marks, *(w for m in marks for w in re.split(r"[-_:]+", m))}
+        tag, *names = label.split(".")
         if tag in ("html", "body"):
             continue
-        if names & (_BOILERPLATE - ({"header", "masthead"} if role == "main" else set())) and not (tag in _MAIN and not names & {"comment", "comments"}):
+        main = tag not in _BOILERPLATE and not _MAIN.isdisjoint((tag, *names))
+        found = {n for n in (tag, *names) if _names_boilerplate(n)} - ({"header", "masthead"} if role else set())
+        if main:
+            found = {n for n in found if not {"comment", "comments"}.isdisjoint(re.split(r"[-_:]+", n))}
+        if found and role:
             return "boilerplate"
-        if names & _MAIN:
-            role = "main"
-    return role
+        if found:
+            hidden = True
+        elif main:
+            role = role or ("inner" if hidden else "main")
+    return role or ("boilerplate" if hidden else "")
 
 
 def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
@@ -260,17 +277,19 @@ def extracted(page: str | None, template: str | None) -> str:
     found = list(blocks(page))
     sizes = _slots(found)
     kept = []
-    main_here = any(role_of(p) == "main" for p, _, _ in found)
+    roles = {role_of(p) for p in sizes}
+    # An article inside an advert or a sidebar is the page's only where nothing larger stands outside.
+    main = "main" if "main" in roles else "inner" if "inner" in roles and {"inner"} == {role_of(p) for p in _leading(sizes)} else None
     for path, text, _ in found:
         role, slot = role_of(path), known.get(path)
-        if role == "boilerplate":
+        if role == "boilerplate" or role == "inner" != main:
             continue
-        if main_here:
-            keep = role == "main" or bool(slot and slot.leads and not slot.links)
+        if main:
+            keep = role == main or bool(slot and slot.leads and not slot.links)
         else:
             chars, linked = sizes[path]
             keep = not (slot.links if slot else linked > LINKS * chars)
-        if keep and slot and slot.texts and not (role == "main" and _tag(path) in _PARTS):
+        if keep and slot and slot.texts and not (role and _tag(path) in _PARTS):
             keep = hash_text(text) not in slot.texts
         if keep:
             kept.append(text)
