@@ -1,10 +1,11 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by hashed suffix heads at minimisers.
 
 Of all suffixes of all documents (from each word on) those are kept that start at a minimiser: the position with the least hash of
-five words in some window of consecutive positions, so equal passages keep the same positions. The suffixes are sorted over the whole
-table by their first words, each group of equal ones spread by document, and every suffix is compared with its
-neighbours. Those that share enough words with one are extended: to the left over all positions whose minimiser they are, to the
-right to the full length. The extended passages are sorted and compared in the same way, and what has an equal neighbour is repeated.
+five words in some window of consecutive positions, so equal passages keep the same positions. A suffix is represented by a
+64-bit hash of its first words. Rows are sorted by it over the whole table, each group of equal ones spread by document, and
+compared with their neighbours; the order between different hashes means nothing, and no common lengths are taken. Around those
+with an equal neighbour, to the left over all positions whose minimiser they are, every passage of the full length is
+hashed, and these are sorted and compared in the same way. What has an equal neighbour is repeated.
 
 The result is exact: a word is in a reported span if and only if some passage of ``length`` words around it occurs at least twice
 in the table, be it in one document or in two. Two passages are equal if their words are, whatever white space stands between
