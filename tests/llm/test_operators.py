@@ -449,6 +449,13 @@ def test_proximity_matches(spark):
         0: (10, 10), 1: (0, 10), 2: (0, 10), 3: (0, 10), 4: (0, 0)}
 
 
+def test_report_counts_proximity_matches(spark):
+    item = "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1"
+    docs = [(0, f"x {item} y"), (1, item.replace("b1", "z")), (2, item.replace("b1", "z").replace("d1", "z"))]
+    found = decontamination.report(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert rows_of(found, "doc_id", "n_hit", "n_near", "contaminated") == [(0, 10, 10, True), (1, 0, 10, False), (2, 0, 0, False)]
+
+
 def test_clean_documents_stay(spark, edges, edge_rows):
     items = spark.createDataFrame([(1, edge_rows[11][1])], "item_id bigint, text string")
     kept = decontamination.clean(edges, items)

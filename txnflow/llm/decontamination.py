@@ -25,6 +25,8 @@ from txnflow.llm.rows import map_texts
 from txnflow.llm.text import is_ascii_break, words
 
 WORDS = 10
+#: Words of a window that stand in place in a proximity match of the report.
+NEAR = 9
 #: Windows sent to the tasks at once: at most 8 * WORDS bytes each, 80 MB.
 BLOCK_WINDOWS = 1_000_000
 #: Words of documents indexed at once by a task.
@@ -166,11 +168,14 @@ def matches(docs: DataFrame, items: DataFrame, keep=("doc_id",), text: str = "te
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: its words, those hit, the items hit and a digest of their ids."""
-    found = matches(docs, items)
+    """Per document: its words, those hit, the items hit and a digest of their ids, and the words in proximity matches.
+
+    Proximity matches don't make a document contaminated.
+    """
+    found = matches(docs, items, near=NEAR)
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        (F.col("n_hit") > 0).alias("contaminated"))
+                        (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
