@@ -1,6 +1,7 @@
 """Plain versions of the operators over lists of rows, as slow and as simple as they can be."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -203,3 +204,105 @@ def language(text, profiles, places=300):
         if best is None or distance < best[0]:
             best = (distance, name)
     return best[1], 1 - best[0] / (len(own) * places)
+
+
+def licence_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def licence_phrases(text, phrases):
+    """n_words, n_base, first_word, last_word, base_labels."""
+    own = licence_words(text)
+    places = [(i, label) for label, phrase in phrases for i in range(len(own)) if own[i:i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in places]
+    return len(own), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def short_places(text, templates, least):
+    own = licence_words(text)
+    for k, (_, phrase) in enumerate(templates):
+        n = len(phrase.split())
+        if 0 < n < least:
+            yield from ((k, i) for i in range(len(own) - n + 1) if own[i:i + n] == phrase.split())
+
+
+def common_runs(text, templates, least):
+    """(template, start, start in the template, words) of the longest runs of equal words."""
+    own = licence_words(text)
+    for k, (_, phrase) in enumerate(templates):
+        other = phrase.split()
+        if len(other) < least:
+            continue
+        for i in range(len(own)):
+            for j in range(len(other)):
+                if own[i] == other[j] and (not i or not j or own[i - 1] != other[j - 1]):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    if n >= least:
+                        yield k, i, j, n
+
+
+def best_chain(matches, gap):
+    """Words of the best chain, trying every predecessor of every match."""
+    matches, best = sorted(matches), []
+    for i, (at, place, n) in enumerate(matches):
+        most = n
+        for j in range(i):
+            shared = max(matches[j][0] + matches[j][2] - at, matches[j][1] + matches[j][2] - place, 0)
+            if shared < n and matches[j][1] < place and at - matches[j][0] - matches[j][2] <= gap:
+                most = max(most, best[j] + n - shared)
+        best.append(most)
+    return max(best)
+
+
+def _nearest(point, centres):
+    distances = [sum((a - b) ** 2 for a, b in zip(point, c, strict=True)) for c in centres]
+    return min(range(len(centres)), key=lambda k: (distances[k], k)), min(distances)
+
+
+def _floor_means(points, labels, before):
+    out = []
+    for k, old in enumerate(before):
+        own = [p for p, x in zip(points, labels, strict=True) if x == k]
+        out.append([sum(c) // len(own) for c in zip(*own, strict=True)] if own else old)
+    return out
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2):
+    """rows: (vec_id, vector, label)."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, list(r[1])))
+    whole = [[math.floor(256 * x) for x in v] for _, v, _ in rows]
+    width = len(whole[0]) // parts
+    labels, errors, final = [], [0] * len(rows), []
+    for p in range(parts):
+        cut = [w[p * width:(p + 1) * width] for w in whole]
+        book = cut[:entries]
+        for _ in range(rounds):
+            book = _floor_means(cut, [_nearest(c, book)[0] for c in cut], book)
+        found = [_nearest(c, book) for c in cut]
+        labels.append([k for k, _ in found])
+        errors = [e + d for e, (_, d) in zip(errors, found, strict=True)]
+        final += [x for entry in book for x in entry]
+    digest = hashlib.sha256(",".join(map(str, final)).encode()).hexdigest()
+    total = {}
+    for (_, _, label), e in zip(rows, errors, strict=True):
+        total[label] = total.get(label, 0) + e
+    return [(i, "".join(f"{labels[p][k]:02x}" for p in range(parts)), errors[k], total[label], digest) for k, (i, _, label) in enumerate(rows)]
+
+
+def first_hash(vec_id):
+    return hashlib.sha256(f"3:{vec_id}".encode()).hexdigest()
+
+
+def lloyd(rows, clusters=8, rounds=10):
+    """rows: (vec_id, vector, label)."""
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows]
+    centres = [v for _, v in sorted(whole, key=lambda r: (r[0] is None, first_hash(r[0]), r[1]))[:clusters]]
+    points = [v for _, v in whole]
+    for _ in range(rounds):
+        centres = _floor_means(points, [_nearest(p, centres)[0] for p in points], centres)
+    found = [_nearest(p, centres) for p in points]
+    inertia = [sum(d for k, d in found if k == j) for j in range(len(centres))]
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
+    return [(i, k, d, inertia[k], sum(inertia), names[k]) for (i, _), (k, d) in zip(whole, found, strict=True)]

@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnflow.llm import decontamination, html_template, language_id, ngram_join, packing, pii, quality_rules, quotes, suffix_array, token_counts
+from txnflow.llm import (decontamination, geometric_kmeans, html_template, language_id, licence_scan, ngram_join, packing, pii, quality_rules,
+                         quotes, suffix_array, token_counts, vector_codes)
 from txnflow.workspace import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,21 @@ def op8_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, linked to the message it answers."""
     return quotes.in_reply_order(quotes.linked(_table(spark, sf_dir, "conversations")))
+
+
+@query()
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and texts in every document, by a generalised suffix automaton."""
+    return licence_scan.report(_table(spark, sf_dir, "documents"))
+
+
+@query(vector_codes.ORACLE_SQL)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code by 16 codebooks, nearest entries found by equal-average search."""
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+@query(geometric_kmeans.ORACLE_SQL)
+def op13_geometric_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster by exact K-means with geometric drift bounds."""
+    return geometric_kmeans.report(_table(spark, sf_dir, "embeddings"))
