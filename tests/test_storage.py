@@ -64,7 +64,7 @@ def stored_rows(spark, path):
 
 def test_keyed_table_writes_only_the_days_that_come_in(spark, tmp_path):
     path = str(tmp_path / "keyed")
-    keyed.create_keyed_table(rows_to_df(spark, [("1", D1, "a", 1.0), ("1", D1, "b", 2.0), ("1", D2, "c", 3.0)], KEYED), path)
+    keyed.create_keyed_table(rows_to_df(spark, [("1", D1, "a", 1.0), ("1", D1, "b", 2.0), ("1", D2, "c", 3.0)], KEYED), path, granularity="day")
     assert stored_rows(spark, path) == {("1", D1, "b", 2.0), ("1", D2, "c", 3.0)}
     later = rows_to_df(spark, [("1", D2, "a", 7.0), ("2", D2, "x", 8.0), ("2", D3, "y", 9.0), ("2", None, "n", 1.0)], KEYED)
     keyed.upsert_keyed_table(spark, path, later)
@@ -101,6 +101,27 @@ def test_a_write_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
         switch(spark, path, before[0] + 1, before[1])
 
 
+def test_periods_are_months_unless_told(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    keyed.upsert_keyed_table(spark, path, rows_to_df(spark, [("1", D1, "a", 1.0), ("1", D3, "b", 2.0), ("1", TS(2023, 2, 1), "c", 3.0)], KEYED))
+    keyed.upsert_keyed_table(spark, path, rows_to_df(spark, [("2", D2, "d", 4.0)], KEYED), granularity="day")
+    assert [len(list(tmp_path.glob(f"keyed/version=*/month=2023-{m}"))) for m in ("01", "02")] == [2, 1]
+    assert keyed.read_keyed_table(spark, path, KEYED, ["2023-01"]).count() == 3 and len(stored_rows(spark, path)) == 4
+
+
+def test_a_writer_that_died_in_its_switch_blocks_nobody_for_long(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "keyed")
+    keyed.upsert_keyed_table(spark, path, rows_to_df(spark, [("1", D1, "a", 1.0)], KEYED))
+    (tmp_path / "keyed" / "_manifest" / f"{2:012d}").touch()
+    assert stored_rows(spark, path) == {("1", D1, "a", 1.0)}
+    later = rows_to_df(spark, [("2", D1, "b", 2.0)], KEYED)
+    with pytest.raises(RuntimeError, match="another writer"):
+        keyed.upsert_keyed_table(spark, path, later)
+    monkeypatch.setattr(keyed, "DEAD_SECONDS", -1)
+    keyed.upsert_keyed_table(spark, path, later)
+    assert stored_rows(spark, path) == {("1", D1, "a", 1.0), ("2", D1, "b", 2.0)}
+
+
 def test_offsets_only_grow(spark, tmp_path):
     path = str(tmp_path / "offsets")
     for rows in ([(0, 5), (1, 7)], [(0, 3), (2, 1)], [(1, 9)]):
@@ -167,7 +188,7 @@ def test_workspace_uses_the_shared_folder(spark, monkeypatch):
     assert workspace.scratch_path(spark, "x") != workspace.scratch_path(spark, "x")
 
     class Context:
-        master, applicationId = "spark://host:7077", "app"
+        master, applicationId = "local-cluster[2,1,1024]", "app"
 
     class Session:
         sparkContext = Context
@@ -179,3 +200,34 @@ def test_workspace_uses_the_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         workspace.shared_root(Session)
+
+
+def test_a_scope_removes_what_was_stored_in_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_root", lambda _: str(tmp_path))
+    rows = spark.range(5)
+    with workspace.job_scope(spark) as outer:
+        first = workspace.materialize(rows, "first")
+        with workspace.job_scope(spark) as inner:
+            second = workspace.materialize(first, "second")
+            third = workspace.materialize(second, "third")
+            workspace.release(second)
+            assert len(list(tmp_path.iterdir())) == 2
+            kept = inner.keep(third)
+        assert kept.count() == 5 and len(list(tmp_path.iterdir())) == 2
+        result = outer.keep(kept)
+    assert result.count() == 5 and len(list(tmp_path.iterdir())) == 1
+    with pytest.raises(RuntimeError), workspace.job_scope(spark):
+        workspace.materialize(rows, "lost")
+        raise RuntimeError
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_jobs_leave_the_shared_folder_empty(spark, customers, make_transactions, as_of, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(workspace, "shared_root", lambda _: str(shared))
+    for name, rows in [("transactions", make_transactions({}, {"trans_num": "t2", "is_fraud": 1.0})), ("customers", customers)]:
+        save_table(rows, "orc", path=str(tmp_path / name))
+    targets = {t: {"path": str(tmp_path / "apart" / t)} for t in ("customer", "fraud", "non_fraud")}
+    run_import(spark, str(tmp_path / "transactions"), str(tmp_path / "customers"), "", as_of, source=("orc", {}), targets=targets)
+    assert not list(shared.iterdir())

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from txnflow.functions.messages import parse_transactions
 from txnflow.operators.enrich import enrich
-from txnflow.schemas import TOPIC, TRANSACTION_KEY
+from txnflow.schemas import POSITION, TOPIC, TRANSACTION_KEY
 from txnflow.sinks.keyed import notes_of, read_keyed_table
 from txnflow.sources.tables import load_table, rows_to_df
 from txnflow.sources.topics import read_topic
+from txnflow.streaming import keyed, queries
 from txnflow.streaming.queries import (
     await_all, compact, fold, keyed_view, read_named, read_routed, start_batches, start_named, start_routed, stop_all,
 )
@@ -73,15 +74,16 @@ def test_batches_routed_restarted_and_folded(spark, customers, topic, tmp_path,
     holders = [p["observedMetrics"]["holders"] for p in query.recentProgress if p["numInputRows"]]
     assert sorted((h["with_card"], h["unknown_card"]) for h in holders) == [(2, 0), (3, 1)]
     tables = str(tmp_path / "tables")
+    folded = lambda: fold(spark, out, tables, stored.schema)
     for _ in range(2):
-        fold(stored, tables)
+        folded()
 
     # Nothing new: nothing is read again. Something new: only that is added.
     assert run()[1].count() == 3
     topic(message(spark, 7, trans_time="2023-01-06 00:00:00"))
     _, stored = run()
     assert stored.where("batch_id = 2").count() == 1 and stored.count() == 4
-    fold(stored, tables)
+    folded()
     schema = stored.drop("batch_id", "route").schema
     kept = {route: {r["trans_num"] for r in read_keyed_table(spark, f"{tables}/{route}", schema).collect()} for route in ("fraud", "non_fraud")}
     assert kept == {"fraud": {"t2"}, "non_fraud": {"a", "t7"}} and notes_of(spark, f"{tables}/non_fraud") == {"batch_id": 2}
@@ -107,7 +109,7 @@ def test_a_repeated_batch_replaces_itself(spark, topic, tmp_path):
         try:
             query.awaitTermination()
         except Exception:
-            pass
+            spark.streams.resetTerminated()
     assert seen == [0, 0]
     assert spark.read.parquet(out).count() == 2
 
@@ -150,3 +152,136 @@ def test_the_failure_of_any_query_is_raised(spark, topic, tmp_path):
         await_all(spark, 60)
     assert running.isActive
     stop_all(spark)
+    assert await_all(spark, 60)
+
+
+def test_a_failure_before_the_call_is_raised_once(spark, topic, tmp_path):
+    topic(message(spark, 1))
+
+    def fail(batch, batch_id):
+        raise RuntimeError("broken early")
+
+    query = start_batches(stream_of(spark, topic), fail, str(tmp_path / "cp"), **ONCE)
+    with pytest.raises(Exception, match="broken early"):
+        query.awaitTermination()
+    assert not spark.streams.active
+    with pytest.raises(Exception, match="broken early"):
+        await_all(spark)
+    assert await_all(spark)
+
+
+def test_a_batch_that_is_not_committed_waits_for_the_next_fold(spark, topic, tmp_path, monkeypatch):
+    out, tables, failing = str(tmp_path / "out"), str(tmp_path / "tables"), []
+    topic(*[message(spark, i, trans_num=f"t{i}", trans_time=f"2023-01-05 12:00:{i:02}") for i in range(6)])
+    save = queries.save_routes
+
+    def half(rows, fmt, path, **options):
+        save(rows.where("offset < 2") if not failing else rows, fmt, path=path, **options)
+        if not failing:
+            failing.append(path)
+            raise RuntimeError("lost in the middle")
+
+    monkeypatch.setattr(queries, "save_routes", half)
+    rows = parse_transactions(stream_of(spark, topic), ["offset"]).withColumn("is_fraud", F.lit(0.0))
+    schema = rows.schema.add("batch_id", "long").add("route", "string")
+    with pytest.raises(Exception, match="lost in the middle"):
+        start_routed(rows, out, **ONCE).awaitTermination()
+    spark.streams.resetTerminated()
+    assert read_routed(spark, out, schema).count() == 2
+    fold(spark, out, tables, schema)
+    start_routed(rows, out, **ONCE).awaitTermination()
+    fold(spark, out, tables, schema)
+    assert read_keyed_table(spark, f"{tables}/non_fraud", rows.schema).count() == 6
+
+
+def keyed_rows(spark, topic, customers, as_of):
+    """Messages as rows with a label and their place in the topic; amounts over 50 count as fraud."""
+    rows = enrich_stream(stream_of(spark, topic), CardHolders(customers), as_of, keep=POSITION)
+    return rows.withColumn("is_fraud", (F.col("amt") > 50).cast("double"))
+
+
+def in_tables(spark, tables, rows):
+    schema = rows.drop(*POSITION).schema
+    return {r: sorted(x["trans_num"] for x in read_keyed_table(spark, f"{tables}/{r}", schema).collect()) for r in ("fraud", "non_fraud")}
+
+
+def at(second, **fields):
+    return dict(trans_time=f"2023-01-05 12:00:{second:02}", trans_num=f"t{second}", **fields)
+
+
+def test_rows_are_in_the_keyed_tables_while_the_stream_runs(spark, customers, topic, tmp_path, as_of):
+    tables, log = str(tmp_path / "tables"), str(tmp_path / "log")
+    topic(message(spark, 1, **at(1)), message(spark, 2, **at(2, amt="99")), raw_message(3, "not json"))
+    rows = keyed_rows(spark, topic, customers, as_of)
+    query = keyed.start_keyed(rows, tables, log=log)
+    query.processAllAvailable()
+    assert query.isActive and in_tables(spark, tables, rows) == {"fraud": ["t2"], "non_fraud": ["t1"]}
+    topic(message(spark, 4, **at(4)), message(spark, 5, **(at(1) | {"trans_num": "t0"})))
+    query.processAllAvailable()
+    # A later batch replaces a row of equal key, although its number is the smaller.
+    assert query.isActive and in_tables(spark, tables, rows) == {"fraud": ["t2"], "non_fraud": ["t0", "t4"]}
+    query.stop()
+    assert {tuple(r) for r in keyed.ledger(spark, tables).collect()} == {("t", 0, 5)}
+    assert load_table(spark, path=log).count() == 4
+
+
+def test_a_failure_between_both_tables_repeats_nothing(spark, customers, topic, tmp_path, as_of, monkeypatch):
+    tables, cp = str(tmp_path / "tables"), str(tmp_path / "cp")
+    topic(message(spark, 1, **at(1)), message(spark, 2, **at(2, amt="99")))
+    rows = keyed_rows(spark, topic, customers, as_of)
+    upsert, written = keyed.upsert_keyed_table, []
+
+    def lost_once(session, path, *args, **kwargs):
+        if path.endswith("/non_fraud") and written == ["fraud"]:
+            written.append("lost")
+            raise RuntimeError("lost between the tables")
+        upsert(session, path, *args, **kwargs)
+        written.append(path.rsplit("/", 1)[1])
+
+    monkeypatch.setattr(keyed, "upsert_keyed_table", lost_once)
+    with pytest.raises(Exception, match="lost between"):
+        keyed.start_keyed(rows, tables, cp, **ONCE).awaitTermination()
+    spark.streams.resetTerminated()
+    assert in_tables(spark, tables, rows) == {"fraud": ["t2"], "non_fraud": []} and keyed.stored_offsets(spark, tables) == {}
+    keyed.start_keyed(rows, tables, cp, **ONCE).awaitTermination()
+    assert written == ["fraud", "lost", "non_fraud"]
+    assert in_tables(spark, tables, rows) == {"fraud": ["t2"], "non_fraud": ["t1"]}
+
+
+def test_a_stream_without_its_checkpoint_goes_on_from_the_ledger(spark, customers, topic, tmp_path, as_of, monkeypatch):
+    tables = str(tmp_path / "tables")
+    topic(message(spark, 1, **at(1)), message(spark, 2, **at(2, amt="99")))
+    rows = keyed_rows(spark, topic, customers, as_of)
+    keyed.start_keyed(rows, tables, str(tmp_path / "one"), **ONCE).awaitTermination()
+    assert keyed.starting_offsets(keyed.stored_offsets(spark, tables), {"t": 2, "u": 1}) == '{"t": {"0": 3, "1": -2}, "u": {"0": -2}}'
+    # What is in force must not be written again: a change of the old messages would show.
+    changed = rows.withColumn("trans_num", F.concat("trans_num", F.lit(" again")))
+    topic(message(spark, 3, **at(3)))
+    keyed.start_keyed(changed, tables, str(tmp_path / "two"), **ONCE).awaitTermination()
+    assert in_tables(spark, tables, rows) == {"fraud": ["t2"], "non_fraud": ["t1", "t3 again"]}
+    topic(message(spark, 4, **at(4)))
+    keyed.start_keyed(changed, tables, str(tmp_path / "two"), **ONCE).awaitTermination()
+    assert in_tables(spark, tables, rows)["non_fraud"] == ["t1", "t3 again", "t4 again"]
+
+
+def test_tables_that_stopped_at_different_batches_meet_again(spark, customers, topic, tmp_path, as_of):
+    tables = str(tmp_path / "tables")
+    rows = spark.createDataFrame([("t", 0, i, i) for i in (1, 2, 3, 4)], "topic string, partition int, offset bigint, n bigint")
+    write = lambda path, some, stream, batch: keyed.write_batch(
+        some, f"{tables}/{path}", stream, batch, keyed.offsets_of(some), keys=["n"], order=["n"])
+    assert write("fraud", rows.where("n <= 2"), "a", 0) and write("non_fraud", rows.where("n <= 2"), "a", 0)
+    assert write("fraud", rows.where("n = 3"), "a", 1)
+    assert keyed.stored_offsets(spark, tables) == {"t": {"0": 2}}
+    # Begun again behind 2: the first table leaves 3 out, the second takes it.
+    marked = rows.where("n >= 3").withColumn("mark", F.lit(1))
+    for path, expected in (("fraud", [4]), ("non_fraud", [3, 4])):
+        assert write(path, marked, "b", 0) and not write(path, marked, "b", 0)
+        stored = read_keyed_table(spark, f"{tables}/{path}", "n bigint, mark int")
+        assert sorted(r["n"] for r in stored.where("mark = 1").collect()) == expected and stored.count() == 4
+
+
+def test_released_holders_are_gone(spark, customers):
+    with CardHolders(customers) as holders:
+        assert holders.rows.count() == 2
+    with pytest.raises(Exception):
+        holders.rows.collect()

@@ -15,13 +15,13 @@ from txnflow.operators.metrics import weighted_f1
 from txnflow.operators.route import union_tables
 from txnflow.operators.split import hash_split
 from txnflow.operators.undersample import cluster_cells, kmeans_undersample as centres_of
-from txnflow.plans.inference import score_stream, start_inference
+from txnflow.plans.inference import score_stream, start_keyed_inference
 from txnflow.plans.training import balanced_train, run_training, train_classifier as fit_classifier
 from txnflow.schemas import FEATURES, FRAUD, LABEL, NON_FRAUD
 from txnflow.sinks.keyed import read_keyed_table
 from txnflow.sinks.tables import save_table
 from txnflow.sources.tables import load_table
-from txnflow.streaming.queries import fold, read_routed, routed_schema, start_named
+from txnflow.streaming.queries import start_named
 from txnflow.streaming.transactions import CardHolders
 from txnflow.workspace import materialize, scratch_path
 
@@ -249,15 +249,14 @@ def stream_score(spark, sf_dir):
 
 @query(with_enriched("select distinct cc_num, trans_time, true as is_class from enriched"))
 def stream_inference(spark, sf_dir):
-    """The inference job: all messages scored, routed, stored, and folded into both keyed tables; their keys and whether
+    """The inference job: all messages scored, routed, and each batch written into both keyed tables; their keys and whether
     each row's class is that of its table."""
     features, forest = _model(spark, sf_dir)
-    path, tables = scratch_path(spark, "inference"), scratch_path(spark, "keyed")
+    tables = scratch_path(spark, "keyed")
     holders = CardHolders(customers(spark, sf_dir), features=features)
     messages = transaction_messages(spark, sf_dir, stream=True)
-    start_inference(messages, holders, features, forest, path, AS_OF, TIME, availableNow=True).awaitTermination()
+    start_keyed_inference(messages, holders, features, forest, tables, as_of=AS_OF, time_type=TIME, availableNow=True).awaitTermination()
     schema = score_stream(messages, holders, features, forest, AS_OF, TIME).schema
-    fold(read_routed(spark, path, routed_schema(schema)), tables)
     fraud, other = (read_keyed_table(spark, f"{tables}/{r}", schema).withColumn("expected", F.lit(v)) for r, v in ((FRAUD, 1.0), (NON_FRAUD, 0.0)))
     rows = union_tables(fraud, other)
     return rows.groupBy("cc_num", "trans_time").agg(F.every(F.col(LABEL) == F.col("expected")).alias("is_class"))

@@ -100,6 +100,8 @@ def transaction_messages(spark: SparkSession, sf_dir: str, stream: bool = False)
         encode_json(*MESSAGE_FIELDS).cast("binary").alias("value"),
         F.lit("transactions").alias("topic"),
         F.expr("cast(cast(cc_num as bigint) % 4 as int)").alias("partition"),
+        # The numbers of order and line, which the transaction's number begins with.
+        F.expr("cast(split(trans_num, '-')[0] as bigint) * 8 + cast(split(trans_num, '-')[1] as bigint)").alias("offset"),
     )
 
 

@@ -20,15 +20,16 @@ def holder_side(customers: DataFrame) -> DataFrame:
 
 
 def join_holders(transactions: DataFrame, holders: DataFrame, as_of=None, variant: str = "radians",
-                 counts: Observation | str | None = None) -> DataFrame:
+                 counts: Observation | str | None = None, keep=()) -> DataFrame:
     """Join on the card with ``distance`` (km, 2 places) and ``age`` added; works on streams too.
 
     Transactions of unknown or NULL cards are lost, and a card listed twice yields two rows. ``counts`` receives the
-    numbers of rows ``with_card`` and of those ``unknown_card``. Columns of ``holders`` named ``*_index`` stay.
+    numbers of rows ``with_card`` and of those ``unknown_card``. Columns of ``holders`` named ``*_index`` stay, and those of
+    ``transactions`` named in ``keep``.
     """
     distance = F.round(haversine("home_lat", "home_long", "merch_lat", "merch_long", variant), 2)
     label = [LABEL] if LABEL in transactions.columns else []
-    kept = [c for c in holders.columns if c.endswith("_index")]
+    kept = [*keep, *(c for c in holders.columns if c.endswith("_index"))]
     if counts is None:
         joined = transactions.join(holders, "cc_num")
     else:

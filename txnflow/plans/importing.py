@@ -13,7 +13,7 @@ from txnflow.operators.sizing import BROADCAST_LIMIT_BYTES
 from txnflow.schemas import CUSTOMER, CUSTOMER_KEY, LABELLED_TRANSACTION, TRANSACTION_KEY
 from txnflow.sinks.tables import save_routes, save_routes_apart, save_table
 from txnflow.sources.tables import load_table, read_csv
-from txnflow.workspace import materialize
+from txnflow.workspace import job_scope, materialize
 
 
 def import_transactions(transactions: DataFrame, customers: DataFrame, as_of=None, time_type: str = "timestamp",
@@ -73,7 +73,8 @@ def run_import(spark: SparkSession, transactions_path: str, customers_path: str,
     rows = import_transactions(transactions, customers, as_of, time_type, counts, cards)
     if targets:
         # Stored first, since each route's write passes over the rows, and the counts are of one pass.
-        save_routes_apart(materialize(rows, "imported"), targets, target)
+        with job_scope(spark):
+            save_routes_apart(materialize(rows, "imported"), targets, target)
     else:
         save_routes(rows, target, path=f"{output}/transaction")
     return ImportCounts(**counts.get, unknown_card=cards.get["unknown_card"])

@@ -23,6 +23,9 @@ OFFSETS = "partition int, offset bigint"
 POINT_MESSAGE = "x double, y double, z string"
 TOPIC = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp"
 
+#: Where a message stands.
+POSITION = ["topic", "partition", "offset"]
+
 LABEL = "is_fraud"
 ENRICHED = [
     "cc_num", "trans_time", "trans_num", "category", "merchant",

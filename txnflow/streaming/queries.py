@@ -80,21 +80,38 @@ def keyed_view(routed: DataFrame, keys=TRANSACTION_KEY, order=TRANSACTION_TIES)
     return latest_by_key(routed, ["route", *keys], ["batch_id", *order])
 
 
-def fold(routed: DataFrame, tables: str, keys=TRANSACTION_KEY, order=TRANSACTION_TIES) -> None:
-    """Write the batches since the last fold into the keyed tables ``fraud`` and ``non_fraud`` below ``tables``.
+def committed_batches(spark: SparkSession, path: str) -> int:
+    """Number of the last batch of a routed stream that Spark has committed; -1 without one.
 
-    Only new batches are read and only their days written anew. The number of the last batch comes into force with its rows, so a
-    fold that failed is simply repeated.
+    Folders of later batches may be incomplete, or be written anew.
     """
-    spark = routed.sparkSession
+    jvm = spark.sparkContext._jvm
+    bound = spark.read.option("wholetext", True).text(f"{path}/_bound/checkpoint").first()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{json.loads(bound[0])['checkpoint']}/commits")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(n) for n in names if n.isdigit()), default=-1)
+
+
+def fold(spark: SparkSession, path: str, tables: str, schema, fmt: str = "parquet", keys=TRANSACTION_KEY, order=TRANSACTION_TIES) -> None:
+    """Write the batches of a routed stream since the last fold into the keyed tables ``fraud`` and ``non_fraud`` below ``tables``.
+
+    Only committed batches are read: one that is being written, or that a failure left half written, waits for the next fold. Only new
+    ones are read and only their periods written anew. The number of the last batch comes into force with its rows, so a
+    fold that failed is simply repeated. ``schema`` is that of the stored rows, see :func:`routed_schema`. A stream that is to be
+    in its tables without a second job writes them itself: :func:`txnflow.streaming.keyed.start_keyed`.
+    """
+    newest = committed_batches(spark, path)
+    if newest < 0:
+        return
+    routed = read_routed(spark, path, schema, fmt)
     for route in (FRAUD, NON_FRAUD):
-        path = f"{tables}/{route}"
-        last = notes_of(spark, path).get("batch_id", -1)
-        new = routed.where((F.col("route") == route) & (F.col("batch_id") > last))
-        newest = new.agg(F.max("batch_id")).first()[0]
-        if newest is not None:
-            rows = latest_by_key(new.where(F.col("batch_id") <= newest), keys, ["batch_id", *order])
-            upsert_keyed_table(spark, path, rows.drop("batch_id", "route"), keys, order, {"batch_id": newest})
+        table = f"{tables}/{route}"
+        last = notes_of(spark, table).get("batch_id", -1)
+        if last < newest:
+            new = routed.where((F.col("route") == route) & (F.col("batch_id") > last) & (F.col("batch_id") <= newest))
+            rows = latest_by_key(new, keys, ["batch_id", *order])
+            upsert_keyed_table(spark, table, rows.drop("batch_id", "route"), keys, order, {"batch_id": newest})
 
 
 def compact(routed: DataFrame, target: str, keys=TRANSACTION_KEY, order=TRANSACTION_TIES) -> None:
@@ -130,20 +147,23 @@ def read_named(spark: SparkSession, name: str, path: str) -> DataFrame:
 def await_all(spark: SparkSession, timeout: float | None = None) -> bool:
     """Wait until every query has ended, ``timeout`` seconds at most for all together; False if one still runs.
 
-    The failure of any query is raised as soon as it happens.
+    The failure of any query is raised, as soon as it happens or at once if it happened before the call. What has ended is then
+    forgotten (``resetTerminated``), so that the next call doesn't report it again.
     """
     deadline = None if timeout is None else time.monotonic() + timeout
-    while active := spark.streams.active:
-        left = None if deadline is None else deadline - time.monotonic()
-        if left is not None and left <= 0:
+    while True:
+        running = spark.streams.active
+        try:
+            spark.streams.awaitAnyTermination(0.05)
+        except Exception:
+            spark.streams.resetTerminated()
+            raise
+        if not running:
+            spark.streams.resetTerminated()
+            return True
+        if deadline is not None and time.monotonic() >= deadline:
             return False
-        for query in active:
-            if query.awaitTermination(min(0.1, left) if left is not None else 0.1):
-                break
-        for query in active:
-            if not query.isActive and query.exception():
-                raise query.exception()
-    return True
+        time.sleep(0.05)
 
 
 def stop_all(spark: SparkSession) -> None:
