@@ -1,6 +1,6 @@
 """Broadcasting behind a check of the measured size."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,17 +13,33 @@ _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.Timestamp
 _VARIABLE = (T.StringType, T.BinaryType)
 
 
+def _bounded(kind: T.DataType) -> bool:
+    return isinstance(kind, _FIXED + _VARIABLE) or (isinstance(kind, T.ArrayType) and _bounded(kind.elementType))
+
+
+def _own_bytes(value: Column, kind: T.DataType) -> Column:
+    """What a value takes beyond its field, as a Column."""
+    if isinstance(kind, _VARIABLE):
+        size = F.octet_length(value).cast("bigint")
+    elif isinstance(kind, T.ArrayType):
+        size = F.size(value) * F.lit(_FIELD_BYTES).cast("bigint")
+        if not isinstance(kind.elementType, _FIXED):
+            size = size + F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + _own_bytes(x, kind.elementType))
+    else:
+        return F.lit(0).cast("bigint")
+    return F.coalesce(size, F.lit(0).cast("bigint"))
+
+
 def measured_bytes(df: DataFrame) -> int | None:
     """Upper estimate of the size of all rows in memory, from one aggregate over the data.
 
     None if a column's type has no simple bound.
     """
-    if not all(isinstance(f.dataType, _FIXED + _VARIABLE) for f in df.schema.fields):
+    if not all(_bounded(f.dataType) for f in df.schema.fields):
         return None
-    lengths = [F.octet_length(f.name) for f in df.schema.fields if isinstance(f.dataType, _VARIABLE)]
-    row_text = sum((F.coalesce(n, F.lit(0)).cast("bigint") for n in lengths), F.lit(0).cast("bigint"))
-    rows, text = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_text), F.lit(0))).first()
-    return rows * (_ROW_OVERHEAD + _FIELD_BYTES * len(df.columns)) + text
+    own = sum((_own_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if not isinstance(f.dataType, _FIXED)), F.lit(0).cast("bigint"))
+    rows, more = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(own), F.lit(0))).first()
+    return rows * (_ROW_OVERHEAD + _FIELD_BYTES * len(df.columns)) + more
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
