@@ -44,7 +44,8 @@ def test_measured_bytes(spark):
     rows = spark.createDataFrame([("abc", 1), (None, 2)], "s string, n int")
     assert measured_bytes(rows) == 2 * (32 + 2 * 16) + 3
     assert measured_bytes(rows.where("false")) == 0
-    nested = rows.select(F.array("s").alias("a"))
+    assert measured_bytes(rows.select(F.array("s").alias("a"))) == 2 * (32 + 16) + 2 * 16 + 3
+    nested = rows.select(F.struct("s").alias("a"))
     assert measured_bytes(nested) is None
     assert "broadcast" not in plan_of(broadcast_if_small(nested))
 
