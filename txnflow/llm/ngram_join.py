@@ -5,9 +5,11 @@ A document is the set of its distinct n-grams. Two documents are linked if 100 *
 1. One global order of n-grams: rare ones first. How frequent an n-gram is comes from counts of hash buckets over all
    documents, a table of fixed size; the hash decides ties. Any order gives the same links.
 2. Equal sets become one, the smallest id; only distinct sets are joined.
-3. Two linked sets share one of the first n - ceil(t n) + 1 n-grams of each. Sets that share such an n-gram, and that bit
+3. Two linked sets share one of the first n - ceil(t n) + 1 n-grams of each. These n-grams are shuffled once, as (n-gram, id), and sorted;
+   equal ones are runs of neighbours, and most have no neighbour and go no further. Sets that share such an n-gram, and that bit
    sketches and sizes don't rule out, form families. A rare n-gram's sets are compared by sketch in one task; those of a
-   frequent one are put into one family straight away, so no list of them meets in a task.
+   frequent one are put into one family straight away, each linked to the one before, so no list of them meets in a task. n-grams whose bucket stands out
+   are spread over several tasks by a salt, whose first sets are linked afterwards.
 4. Each family's sets are joined with a prefix tree of the n-grams in global order, frequent ones at the root: sets with
    a common beginning share a path, a set walks the tree once carrying its overlap, and a subtree is left as soon as what
    remains can't reach the threshold. A family larger than a block is cut into blocks: each block is joined with itself
@@ -17,7 +19,7 @@ A document is the set of its distinct n-grams. Two documents are linked if 100 *
 
 Documents with fewer words than n have their whole sequence as one n-gram; missing texts and those without a word have the
 empty set, which links with nothing. Ids must be unique; rows with equal ids count as documents of one set each and share a
-component. Null ids give a null component.
+component. Null ids give a null component. Ids that aren't whole numbers are known by a 64-bit hash while they are linked.
 """
 
 from collections.abc import Iterator
@@ -26,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from txnflow.llm.components import connected_components
 from txnflow.llm.rows import ROWS, map_texts
 from txnflow.llm.text import mixed, whole, windows, words
-from txnflow.workspace import materialize
+from txnflow.operators.sizing import broadcast_if_small
+from txnflow.workspace import job_scope, materialize, release
 
 #: Buckets of the frequency table: 2^18 counts, 2 MB at the driver and in each task.
 BUCKET_BITS = 18
@@ -38,6 +42,8 @@ BUCKET_BITS = 18
 SKETCH_WORDS = 8
 #: Sets sharing an n-gram that meet in one task; beyond it they are put into one family unseen.
 RARE = 128
+#: A bucket with more than so many times the mean count, and ``SALTED`` besides, is spread by a salt.
+STANDS_OUT, SALTED = 4, 1 << 20
 #: Sets of a family that a task joins at once, and their n-grams.
 BLOCK = 384
 BLOCK_GRAMS = 1 << 18
@@ -95,7 +101,7 @@ def _signature(grams: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc_id, size, signature, sketch and the first n-grams of each document."""
+    """doc_id, own, size, signature, sketch and the first n-grams of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def made(texts: list[str | None]) -> Iterator:
@@ -108,7 +114,7 @@ def described(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
         }
 
     fields = {"size": "bigint", "signature": "binary", "sketch": "binary", "firsts": "array<bigint>"}
-    return map_texts(docs, "text", made, fields).select("row.doc_id", *fields)
+    return map_texts(docs, "text", made, fields, ("doc_id", "own")).select("row.*", *fields)
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -161,20 +167,96 @@ def _sketched_links(percent: int):
     return batches
 
 
-def families(sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+def _salts(counts: np.ndarray, stands_out: int) -> dict[int, int]:
+    """Over how many tasks the n-grams of a bucket are spread, where that is more than one."""
+    usual = stands_out * counts.mean() + SALTED
+    return {int(k): int(-(-counts[k] // usual)) for k in np.flatnonzero(counts > usual)}
+
+
+def _runs(rare: int):
+    """Over rows (gram, salt, doc_id) sorted by these: of each run of equal (gram, salt) the holders as ``docs`` if they are ``rare`` at most and not
+    salted; else each holder with the one before, ``unseen``. The first holder of a salted run also comes with its ``gram``."""
+    names = ["docs", "unseen", "gram"]
+
+    def made(docs: list[np.ndarray], unseen: bool, grams: list) -> pa.RecordBatch:
+        flat = np.concatenate([np.zeros(0, np.int64), *docs])
+        ends = np.cumsum([0, *map(len, docs)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.full(len(docs), unseen)), pa.array(grams, pa.int64())], names)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the run that may go on in the next batch: its key, its holders while it may be a rare one, then its last holder.
+        key, held, long = None, np.zeros(0, np.int64), False
+        for batch in stream:
+            gram, salt, ids = (batch.column(k).to_numpy() for k in range(3))
+            if not len(gram):
+                continue
+            starts = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])))
+            ends = np.append(starts[1:], len(gram))
+            goes_on = key == (gram[0], salt[0])
+            lists, pairs, firsts = [], [], []
+            if key is not None and not goes_on and not long and len(held) > 1:
+                lists.append(held)
+            # Alone in their run, and not at either end of the batch or salted: nothing to say.
+            lengths = ends - starts
+            worth = (lengths > 1) | (salt[starts] >= 0)
+            worth[0] = worth[-1] = True
+            for k in np.flatnonzero(worth):
+                s, e = starts[k], ends[k]
+                own, before_long = ids[s:e], False
+                if k == 0 and goes_on:
+                    own, before_long = np.concatenate([held, own]), long
+                elif salt[s] >= 0:
+                    firsts.append((gram[s], ids[s]))
+                now_long = before_long or salt[s] >= 0 or len(own) > rare
+                if now_long:
+                    pairs.append(np.column_stack([own[1:], own[:-1]]))
+                    own = own[-1:]
+                if k == len(starts) - 1:
+                    key, held, long = (gram[s], salt[s]), own, now_long
+                elif not now_long and len(own) > 1:
+                    lists.append(own)
+            if lists:
+                yield made(lists, False, [None] * len(lists))
+            linked = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+            if len(linked):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array(np.arange(0, linked.size + 1, 2, dtype=np.int32)), pa.array(linked.ravel())),
+                     pa.array(np.full(len(linked), True)), pa.nulls(len(linked), pa.int64())], names)
+            if firsts:
+                yield made([np.array([d]) for _, d in firsts], True, [int(g) for g, _ in firsts])
+        if key is not None and not long and len(held) > 1:
+            yield made([held], False, [None])
+
+    return batches
+
+
+def families(sets: DataFrame, percent: int, counts: np.ndarray, rare: int = RARE, stands_out: int = STANDS_OUT) -> DataFrame:
     """doc_id, family: sets of which any two that may be linked are in one family; sets alone aren't listed."""
-    postings = sets.select("doc_id", "size", "sketch", F.explode("firsts").alias("gram"))
-    slim = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    shared = materialize(sets.select("doc_id", "size", F.explode("firsts").alias("gram")).join(slim, "gram"), "postings")
-    frequent = shared.where(F.col("n") > rare).select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
+    salts = _salts(counts, stands_out)
+    postings = sets.select(F.explode("firsts").alias("gram"), "doc_id")
+    salt = F.lit(-1)
+    if salts:
+        bucket = F.shiftrightunsigned("gram", 64 - BUCKET_BITS).cast("int")
+        many = F.create_map(*(F.lit(x) for pair in salts.items() for x in pair))[bucket]
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), many).cast("int"), salt)
+    sorted_ = (postings.withColumn("salt", salt).select("gram", "salt", "doc_id").repartition("gram", "salt")
+               .sortWithinPartitions("gram", "salt", "doc_id"))
+    runs = materialize(sorted_.mapInArrow(_runs(rare), "docs array<bigint>, unseen boolean, gram bigint"), "runs")
+    frequent = runs.where("unseen and gram is null").select(F.col("docs")[0].alias("u"), F.col("docs")[1].alias("v"))
+    if salts:
+        firsts = runs.where("gram is not null").select("gram", F.col("docs")[0].alias("u"))
+        frequent = frequent.union(firsts.join(firsts.groupBy("gram").agg(F.min("u").alias("v")), "gram").select("u", "v"))
     # n-grams held by the very same sets say the same; one of them is enough.
-    lists = (shared.where(F.col("n") <= rare).groupBy("gram")
-             .agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).groupBy("docs").agg(F.min("gram").alias("gram")))
-    members = lists.select("gram", F.explode("docs").alias("doc_id")).join(sets.select("doc_id", "size", "sketch"), "doc_id")
-    tasks = members.groupBy("gram").agg(F.collect_list(F.struct("doc_id", "size", "sketch")).alias("x")).select("x.doc_id", "x.size", "x.sketch")
-    near = tasks.mapInArrow(_sketched_links(percent), "u bigint, v bigint")
-    return (connected_components(frequent.union(near))
-            .select(F.col("node").alias("doc_id"), F.col("component").alias("family")))
+    lists = materialize(runs.where("not unseen").select("docs").distinct().select(F.monotonically_increasing_id().alias("list"), "docs"), "lists")
+    listed = lists.select("list", F.explode("docs").alias("doc_id"))
+    members = listed.join(sets.select("doc_id", "size", "sketch"), "doc_id")
+    tasks = members.groupBy("list").agg(F.collect_list(F.struct("doc_id", "size", "sketch")).alias("x")).select("x.doc_id", "x.size", "x.sketch")
+    near = materialize(frequent.union(tasks.mapInArrow(_sketched_links(percent), "u bigint, v bigint")), "near")
+    release(runs, lists)
+    found = connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    release(near)
+    return found
 
 
 class _Node:
@@ -314,23 +396,40 @@ def family_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFr
     return first.union(inside).union(_links(merged, percent))
 
 
-def link(docs: DataFrame, n: int = 4, percent: int = 85, rare: int = RARE, block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, n: int = 4, percent: int = 85, rare: int = RARE, block: int = BLOCK, stands_out: int = STANDS_OUT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType
+    own = F.col("doc_id")
+    number = own.cast("bigint") if isinstance(kind, IntegralType) else F.when(own.isNotNull(), F.xxhash64(own))
+    docs = docs.select(number.alias("doc_id"), own.alias("own"), "text")
+    with job_scope(docs.sparkSession) as scope:
+        linked = _linked(docs, n, percent, rare, block, stands_out)
+        if isinstance(kind, IntegralType):
+            return scope.keep(linked.select(F.col("own").alias("doc_id"), "n_shingles", F.col("component").cast(kind).alias("component_id")), "linked")
+        linked = materialize(linked, "linked")
+        least = linked.where("component is not null").groupBy("component").agg(F.min("own").alias("component_id"))
+        return scope.keep(linked.join(least, "component", "left").select(F.col("own").alias("doc_id"), "n_shingles", "component_id"), "linked")
+
+
+def _linked(docs: DataFrame, n: int, percent: int, rare: int, block: int, stands_out: int) -> DataFrame:
+    """own, n_shingles, component for each row of ``docs`` (doc_id as a number, own, text)."""
     counts = bucket_counts(docs, n)
     sets = materialize(described(docs, counts, n, percent), "sets")
-    whose = sets.where("size > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    named = materialize(sets.select("doc_id", "size", "signature").join(whose, "signature", "left")
-                        .select("doc_id", "size", F.coalesce("rep", "doc_id").alias("rep")), "named")
-    distinct = (sets.where("size > 0").join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-                .dropDuplicates(["doc_id"]))
-    family = materialize(families(distinct, percent, rare), "families")
-    members = map_texts(docs.join(family, "doc_id"), "text",
+    whose = sets.where("size > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
+    named = materialize(sets.select("doc_id", "own", "size", "signature").join(whose, "signature", "left")
+                        .select("doc_id", "own", "size", F.coalesce("rep", "doc_id").alias("rep")), "named")
+    chosen = materialize(sets.where("size > 0").join(named.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+                         .dropDuplicates(["doc_id"]).select("doc_id", "size", "sketch", "firsts"), "distinct")
+    release(sets)
+    family = materialize(families(chosen, percent, counts, rare, stands_out), "families")
+    release(chosen)
+    # The members' sets are made anew from their texts, which stay where they are if the list of members is small enough to send.
+    members = map_texts(docs.join(broadcast_if_small(family), "doc_id"), "text",
                         lambda texts: [(None, {"grams": [gram_set(t, n).tobytes() for t in texts]})], {"grams": "binary"}, ["family", "doc_id"])
-    found = family_links(members.select("row.*", "grams").dropDuplicates(["doc_id"]), percent, block)
-    component = connected_components(found)
-    return (named.join(component, named.rep == component.node, "left")
-            .select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
+    stored = materialize(members.select("row.*", "grams").dropDuplicates(["doc_id"]), "grams")
+    component = connected_components(family_links(stored, percent, block))
+    return (named.join(broadcast_if_small(component), named.rep == component.node, "left")
+            .select("own", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component")))
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
