@@ -355,45 +355,55 @@ def _links(tasks: DataFrame, percent: int) -> DataFrame:
 
 
 def family_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links among the members (family, doc_id, grams) of each family that connect all that is linked."""
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    counts = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("grams") / 8).alias("n_grams"))
-    placed = materialize(
-        members.join(counts, "family").withColumn("spread", spread)
-        .withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("n_grams") / BLOCK_GRAMS)))
-        .withColumn("a", (F.col("spread") % F.col("blocks")).cast("bigint")), "members")
+    """Links among the members (family, doc_id, grams, n_grams) of each family that connect all that is linked.
+
+    The n-grams are stored once and stay in place; what is found out about members on the way are tables of ids, which are sent to them where they are
+    measured to be small.
+    """
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("all_grams"))
+    placed = (members.join(broadcast_if_small(sizes), "family").withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+              .withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all_grams") / BLOCK_GRAMS)))
+              .withColumn("a", (F.col("spread") % F.col("blocks")).cast("bigint")))
     small = placed.where("blocks = 1")
     first = _links(small.select("family", "a", F.lit(0).alias("b"), "doc_id", "grams", F.lit(True).alias("probe"), F.lit(True).alias("indexed")), percent)
     large = placed.where("blocks > 1")
-    if large.isEmpty():
+    ids = materialize(large.select("family", "doc_id", "spread", "blocks", "a", "n").dropDuplicates(["doc_id"]), "ids")
+    if ids.isEmpty():
         return first
+
+    def numbers(end):
+        return F.sequence(F.lit(0).cast("bigint"), end - 1)
+
     # Pivots: the members with the smallest spread values meet every block.
-    pivot = (large.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("spread", "doc_id")))
-             .where(F.col("place") <= PIVOTS))
-    pivots = pivot.select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("a"), "doc_id", "grams")
-    both = (large.select("family", "a", "doc_id", "grams").union(pivots)
+    pivot = (ids.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("spread", "doc_id")))
+             .where(F.col("place") <= PIVOTS).select("doc_id", F.lit(True).alias("is_pivot")))
+    both = (large.join(broadcast_if_small(pivot), "doc_id", "left")
+            .withColumn("a", F.explode(F.when(F.col("is_pivot"), numbers(F.col("blocks"))).otherwise(F.array("a"))))
             .select("family", "a", F.lit(0).alias("b"), "doc_id", "grams", F.lit(True).alias("probe"), F.lit(True).alias("indexed")))
     inside = materialize(_links(both, percent), "inside")
     component = connected_components(inside)
-    labelled = (large.join(component, large.doc_id == component.node, "left")
+    labelled = (ids.join(broadcast_if_small(component), ids.doc_id == component.node, "left")
                 .withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component"))
     labels = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n_label"))
     largest = labels.groupBy("family").agg(F.max_by("label", F.struct("n_label", "label")).alias("giant"))
     # Members of the largest component are linked already; all others meet every block, the blocks after theirs among themselves.
-    state = materialize(labelled.join(largest, "family").withColumn("loose", F.col("label") != F.col("giant")), "labelled")
-    # Loose members meet the blocks in groups as large as a block.
+    # They do so in groups as large as a block.
+    state = materialize(labelled.join(broadcast_if_small(largest), "family").withColumn("loose", F.col("label") != F.col("giant")), "labelled")
     loose = state.where("loose").groupBy("family").agg(F.count(F.lit(1)).alias("n_loose"))
-    state = state.join(loose, "family").withColumn("groups", F.ceil(F.col("n_loose") * F.col("blocks") / F.col("n"))).withColumn("g", F.col("spread") % F.col("groups"))
-    probes = state.where("loose").select(
-        "family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("a"), F.col("g").alias("b"),
-        "doc_id", "grams", F.lit(True).alias("probe"), F.lit(False).alias("indexed"))
-    targets = state.select(
-        "family", "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("b"),
-        "doc_id", "grams", F.lit(False).alias("probe"), F.lit(True).alias("indexed"))
-    tasks = probes.union(targets)
-    merged = (tasks.groupBy("family", "a", "b", "doc_id")
-              .agg(F.first("grams").alias("grams"), F.max("probe").alias("probe"), F.max("indexed").alias("indexed")))
-    return first.union(inside).union(_links(merged, percent))
+    state = (state.join(broadcast_if_small(loose), "family")
+             .withColumn("groups", F.ceil(F.col("n_loose") * F.col("blocks") / F.col("n"))).withColumn("g", F.col("spread") % F.col("groups"))
+             .select("doc_id", "groups", "g", "loose"))
+    own, g, is_loose = F.col("a"), F.col("g"), F.col("loose")
+
+    def task(a, b, probe, indexed):
+        return F.struct(a.alias("a"), b.cast("bigint").alias("b"), probe.alias("probe"), indexed.alias("indexed"))
+
+    probing = F.transform(numbers(F.col("blocks")), lambda a: task(a, g, F.lit(True), a == own))
+    indexed = F.transform(F.filter(numbers(F.col("groups")), lambda b: ~(is_loose & (b == g))), lambda b: task(own, b, F.lit(False), F.lit(True)))
+    tasks = (large.join(broadcast_if_small(state), "doc_id")
+             .select("family", "doc_id", "grams", F.explode(F.when(is_loose, F.concat(probing, indexed)).otherwise(indexed)).alias("x"))
+             .select("family", "x.a", "x.b", "doc_id", "grams", "x.probe", "x.indexed"))
+    return first.union(inside).union(_links(tasks, percent))
 
 
 def link(docs: DataFrame, n: int = 4, percent: int = 85, rare: int = RARE, block: int = BLOCK, stands_out: int = STANDS_OUT) -> DataFrame:
@@ -423,10 +433,14 @@ def _linked(docs: DataFrame, n: int, percent: int, rare: int, block: int, stands
     release(sets)
     family = materialize(families(chosen, percent, counts, rare, stands_out), "families")
     release(chosen)
+
     # The members' sets are made anew from their texts, which stay where they are if the list of members is small enough to send.
-    members = map_texts(docs.join(broadcast_if_small(family), "doc_id"), "text",
-                        lambda texts: [(None, {"grams": [gram_set(t, n).tobytes() for t in texts]})], {"grams": "binary"}, ["family", "doc_id"])
-    stored = materialize(members.select("row.*", "grams").dropDuplicates(["doc_id"]), "grams")
+    def made(texts: list[str | None]) -> Iterator:
+        own = [gram_set(t, n) for t in texts]
+        yield None, {"grams": [s.tobytes() for s in own], "n_grams": [len(s) for s in own]}
+
+    members = map_texts(docs.join(broadcast_if_small(family), "doc_id"), "text", made, {"grams": "binary", "n_grams": "bigint"}, ["family", "doc_id"])
+    stored = materialize(members.select("row.*", "grams", "n_grams"), "grams")
     component = connected_components(family_links(stored, percent, block))
     return (named.join(broadcast_if_small(component), named.rep == component.node, "left")
             .select("own", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component")))
