@@ -12,9 +12,9 @@ A document is the set of its distinct n-grams. Two documents are linked if 100 *
    are spread over several tasks by a salt, whose first sets are linked afterwards.
 4. Each family's sets are joined with a prefix tree of the n-grams in global order, frequent ones at the root: sets with
    a common beginning share a path, a set walks the tree once carrying its overlap, and a subtree is left as soon as what
-   remains can't reach the threshold. A family larger than a block is cut into blocks: each block is joined with itself
-   and with a few pivots first, then only blocks with sets that aren't yet linked to their family's largest
-   component meet the other blocks.
+   remains can't reach the threshold. A family larger than a block is cut into bands of size and blocks of these: each block is joined with itself
+   and with a few pivots first, then only the sets that aren't yet linked to their family's largest
+   component meet the other blocks, those of their own band and its neighbours.
 5. Links, at most a forest in each task, give components.
 
 Documents with fewer words than n have their whole sequence as one n-gram; missing texts and those without a word have the
@@ -22,6 +22,7 @@ empty set, which links with nothing. Ids must be unique; rows with equal ids cou
 component. Null ids give a null component. Ids that aren't whole numbers are known by a 64-bit hash while they are linked.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -358,52 +359,75 @@ def family_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFr
     """Links among the members (family, doc_id, grams, n_grams) of each family that connect all that is linked.
 
     The n-grams are stored once and stay in place; what is found out about members on the way are tables of ids, which are sent to them where they are
-    measured to be small.
+    measured to be small. A large family is cut into bands of size and these into blocks, so that a set meets no block whose sizes its own rules out.
     """
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("all_grams"))
-    placed = (members.join(broadcast_if_small(sizes), "family").withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-              .withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all_grams") / BLOCK_GRAMS)))
-              .withColumn("a", (F.col("spread") % F.col("blocks")).cast("bigint")))
-    small = placed.where("blocks = 1")
-    first = _links(small.select("family", "a", F.lit(0).alias("b"), "doc_id", "grams", F.lit(True).alias("probe"), F.lit(True).alias("indexed")), percent)
-    large = placed.where("blocks > 1")
-    ids = materialize(large.select("family", "doc_id", "spread", "blocks", "a", "n").dropDuplicates(["doc_id"]), "ids")
+    # Linked sets have sizes in one band or in neighbouring ones; the slack keeps rounding from setting them two bands apart.
+    band = F.col("n_grams") if percent >= 100 else F.floor(F.log(F.col("n_grams").cast("double")) / (1.001 * math.log(100 / percent)))
+    banded = members.withColumn("band", band)
+    sizes = (banded.groupBy("family", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("all_grams"))
+             .withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all_grams") / BLOCK_GRAMS))))
+    whole_family = sizes.groupBy("family").agg((F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("all_grams") / BLOCK_GRAMS)) > 1).alias("is_large"))
+    cells = materialize(sizes.join(whole_family, "family"), "cells")
+    placed = banded.join(broadcast_if_small(cells.select("family", "band", "n", "blocks", "is_large")), ["family", "band"])
+    small = placed.where("not is_large")
+    first = _links(small.select("family", F.lit(0).alias("a"), F.lit(0).alias("b"), "doc_id", "grams", F.lit(True).alias("probe"), F.lit(True).alias("indexed")), percent)
+    large = placed.where("is_large")
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    ids = materialize(large.select("family", "band", "doc_id", "n", "blocks", spread.alias("spread")).dropDuplicates(["doc_id"])
+                      .withColumn("own", F.col("spread") % F.col("blocks")), "ids")
     if ids.isEmpty():
         return first
 
     def numbers(end):
-        return F.sequence(F.lit(0).cast("bigint"), end - 1)
-
-    # Pivots: the members with the smallest spread values meet every block.
-    pivot = (ids.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("spread", "doc_id")))
-             .where(F.col("place") <= PIVOTS).select("doc_id", F.lit(True).alias("is_pivot")))
-    both = (large.join(broadcast_if_small(pivot), "doc_id", "left")
-            .withColumn("a", F.explode(F.when(F.col("is_pivot"), numbers(F.col("blocks"))).otherwise(F.array("a"))))
-            .select("family", "a", F.lit(0).alias("b"), "doc_id", "grams", F.lit(True).alias("probe"), F.lit(True).alias("indexed")))
-    inside = materialize(_links(both, percent), "inside")
+        """0 up to ``end``, exclusive; nothing below 1."""
+        return F.when(end > 0, F.sequence(F.lit(0).cast("bigint"), end.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def place(band, number):
+        """A block or group of a band as one number."""
+        return band.cast("bigint") * F.lit(1 << 32) + number
+
+    # Pivots: the members of a band with the smallest spread values meet all its blocks.
+    pivot = ids.withColumn("rank", F.row_number().over(Window.partitionBy("family", "band").orderBy("spread", "doc_id"))).where(F.col("rank") <= PIVOTS)
+    meets = ids.join(broadcast_if_small(pivot.select("doc_id", F.lit(True).alias("is_pivot"))), "doc_id", "left").select(
+        "doc_id", F.explode(F.when(F.col("is_pivot"), numbers(F.col("blocks"))).otherwise(F.array("own"))).alias("number"), F.col("band").alias("of"))
+    meets = materialize(meets.select("doc_id", place(F.col("of"), F.col("number")).alias("a")), "meets")
+    grams = large.select("family", "doc_id", "grams")
+    inside = materialize(_links(grams.join(broadcast_if_small(meets), "doc_id").select(
+        "family", "a", F.lit(0).alias("b"), "doc_id", "grams", F.lit(True).alias("probe"), F.lit(True).alias("indexed")), percent), "inside")
     component = connected_components(inside)
     labelled = (ids.join(broadcast_if_small(component), ids.doc_id == component.node, "left")
                 .withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component"))
     labels = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n_label"))
     largest = labels.groupBy("family").agg(F.max_by("label", F.struct("n_label", "label")).alias("giant"))
-    # Members of the largest component are linked already; all others meet every block, the blocks after theirs among themselves.
-    # They do so in groups as large as a block.
+    # Members of the largest component are linked already; all others meet the blocks of their band and of its neighbours, in groups as large as a block.
     state = materialize(labelled.join(broadcast_if_small(largest), "family").withColumn("loose", F.col("label") != F.col("giant")), "labelled")
-    loose = state.where("loose").groupBy("family").agg(F.count(F.lit(1)).alias("n_loose"))
-    state = (state.join(broadcast_if_small(loose), "family")
-             .withColumn("groups", F.ceil(F.col("n_loose") * F.col("blocks") / F.col("n"))).withColumn("g", F.col("spread") % F.col("groups"))
-             .select("doc_id", "groups", "g", "loose"))
-    own, g, is_loose = F.col("a"), F.col("g"), F.col("loose")
+    counted = materialize(state.groupBy("family", "band").agg(F.first("blocks").alias("blocks"), F.ceil(
+        F.count_if("loose") * F.first("blocks") / F.first("n")).alias("groups")), "groups")
+    around = None
+    for step in (-1, 0, 1):
+        found = counted.select("family", (F.col("band") - step).alias("band"), F.struct(
+            F.lit(step).alias("step"), "blocks", "groups").alias("there"))
+        around = found if around is None else around.union(found)
+    around = around.groupBy("family", "band").agg(F.collect_list("there").alias("around"))  # three at most
+    groups = counted.select("family", "band", "groups")
+    state = state.join(broadcast_if_small(groups), ["family", "band"]).join(broadcast_if_small(materialize(
+        around.select("family", "band", F.transform("around", lambda x: F.array(x["step"].cast("bigint"), x["blocks"], x["groups"])).alias("around")), "around")),
+        ["family", "band"])
+    group = F.when(F.col("loose"), F.col("spread") % F.col("groups"))
+    here, own = F.col("band"), F.col("own")
 
     def task(a, b, probe, indexed):
-        return F.struct(a.alias("a"), b.cast("bigint").alias("b"), probe.alias("probe"), indexed.alias("indexed"))
-
-    probing = F.transform(numbers(F.col("blocks")), lambda a: task(a, g, F.lit(True), a == own))
-    indexed = F.transform(F.filter(numbers(F.col("groups")), lambda b: ~(is_loose & (b == g))), lambda b: task(own, b, F.lit(False), F.lit(True)))
-    tasks = (large.join(broadcast_if_small(state), "doc_id")
-             .select("family", "doc_id", "grams", F.explode(F.when(is_loose, F.concat(probing, indexed)).otherwise(indexed)).alias("x"))
-             .select("family", "x.a", "x.b", "doc_id", "grams", "x.probe", "x.indexed"))
-    return first.union(inside).union(_links(tasks, percent))
+        return F.struct(a.alias("a"), b.alias("b"), probe.alias("probe"), indexed.alias("indexed"))
+
+    # A loose member probes the blocks around; every member is indexed for the groups around, where it isn't that already.
+    probing = F.flatten(F.transform("around", lambda x: F.transform(numbers(x[1]), lambda k: task(
+        place(here + x[0], k), place(here, group), F.lit(True), (x[0] == 0) & (k == own)))))
+    indexed = F.flatten(F.transform("around", lambda x: F.transform(
+        F.filter(numbers(x[2]), lambda k: ~(F.col("loose") & (x[0] == 0) & (k == group))),
+        lambda k: task(place(here, own), place(here + x[0], k), F.lit(False), F.lit(True)))))
+    tasks = materialize(state.select("doc_id", F.explode(F.when(F.col("loose"), F.concat(probing, indexed)).otherwise(indexed)).alias("x"))
+                        .select("doc_id", "x.*"), "tasks")
+    return first.union(inside).union(_links(grams.join(broadcast_if_small(tasks), "doc_id"), percent))
 
 
 def link(docs: DataFrame, n: int = 4, percent: int = 85, rare: int = RARE, block: int = BLOCK, stands_out: int = STANDS_OUT) -> DataFrame:
