@@ -42,7 +42,9 @@ BUCKET_BITS = 18
 #: 64-bit words of a set's bit sketch.
 SKETCH_WORDS = 8
 #: Sets sharing an n-gram that meet in one task; beyond it they are put into one family unseen.
-RARE = 128
+RARE = 1024
+#: Of these, compared with all others at once.
+TILE = 128
 #: A bucket with more than so many times the mean count, and ``SALTED`` besides, is spread by a salt.
 STANDS_OUT, SALTED = 4, 1 << 20
 #: Sets of a family that a task joins at once, and their n-grams.
@@ -139,10 +141,12 @@ def _alike(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int)
     """Links among the sets of one n-gram that sizes and sketches allow, as a forest."""
     order = np.argsort(ids, kind="stable")
     ids, size, sketch = ids[order], size[order], sketch[order]
-    both = size[:, None] + size
-    apart = np.bitwise_count(sketch[:, None] ^ sketch).sum(2, dtype=np.int64)
-    common = (both - apart) // 2
-    near = (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)) & (100 * common >= percent * (both - common))
+    near = np.empty((len(ids), len(ids)), bool)
+    for k in range(0, len(ids), TILE):
+        own = size[k:k + TILE, None]
+        both = own + size
+        common = (both - np.bitwise_count(sketch[k:k + TILE, None] ^ sketch).sum(2, dtype=np.int64)) // 2
+        near[k:k + TILE] = (100 * np.minimum(own, size) >= percent * np.maximum(own, size)) & (100 * common >= percent * (both - common))
     np.fill_diagonal(near, True)
     roots, before = np.arange(len(ids)), None
     while before is None or (roots != before).any():
