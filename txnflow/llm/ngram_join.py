@@ -48,8 +48,8 @@ TILE = 128
 #: A bucket with more than so many times the mean count, and ``SALTED`` besides, is spread by a salt.
 STANDS_OUT, SALTED = 4, 1 << 20
 #: Sets of a family that a task joins at once, and their n-grams.
-BLOCK = 384
-BLOCK_GRAMS = 1 << 18
+BLOCK = 1536
+BLOCK_GRAMS = 1 << 20
 #: Sets of each large family that all its blocks meet first.
 PIVOTS = 8
 
