@@ -469,8 +469,6 @@ def _linked(docs: DataFrame, n: int, percent: int, rare: int, block: int, stands
 
     members = map_texts(docs.join(broadcast_if_small(family), "doc_id"), "text", made, {"grams": "binary", "n_grams": "bigint"}, ["family", "doc_id"])
     stored = materialize(members.select("row.*", "grams", "n_grams"), "grams")
-    # The shuffle files of the steps so far go only when the driver collects the garbage that refers to them.
-    docs.sparkSession.sparkContext._jvm.System.gc()
     component = connected_components(family_links(stored, percent, block))
     return (named.join(broadcast_if_small(component), named.rep == component.node, "left")
             .select("own", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component")))
