@@ -5,6 +5,7 @@ import re
 import zlib
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,32 @@ def test_redaction_keeps_columns(edges, edge_rows, doubled):
 LINKS = ("doc_id", "n_shingles", "component_id")
 
 
+def test_sketches_of_any_length_keep_every_link():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        base = rng.integers(1, 1 << 62, rng.integers(1, 6000)).astype(np.uint64)
+        sets = []
+        for _ in range(rng.integers(2, 12)):
+            kept = base[rng.random(len(base)) > 0.3 * rng.random() * rng.random()]
+            new = rng.integers(1, 1 << 62, int(0.1 * len(base) * rng.random())).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[:1], kept, new])))
+        size, ids = np.array([len(s) for s in sets]), rng.permutation(len(sets)).astype(np.int64)
+        links = ngram_join._alike(ids, size, [ngram_join._sketch(s).tobytes() for s in sets], 85)
+        roots = ngram_join._forest(len(sets), zip(*(x.tolist() for x in links), strict=True))
+        for i in range(len(sets)):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * common >= 85 * (size[i] + size[j] - common):
+                    assert roots[ids[i]] == roots[ids[j]]
+
+
+def test_long_sets_without_a_link_are_ruled_out():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(1, 1 << 62, 5000).astype(np.uint64)) for _ in range(20)]
+    u, _ = ngram_join._alike(np.arange(20), np.array([len(s) for s in sets]), [ngram_join._sketch(s).tobytes() for s in sets], 80)
+    assert len(u) == 0
+
+
 @pytest.mark.parametrize("rare,block", [(ngram_join.RARE, ngram_join.BLOCK), (2, 3)])
 def test_components_equal_brute_force(edges, edge_rows, documents, texts, rare, block):
     for df, rows in ((edges, pairs(edge_rows)), (documents, texts)):
@@ -153,8 +180,6 @@ def test_runs_across_batches():
 
 
 def test_prefix_tree_equals_all_pairs():
-    import numpy as np
-
     rnd = random.Random(4)
     for percent in (50, 85, 100):
         sets = [np.array(sorted(rnd.sample(range(30), rnd.randint(1, 25)))) for _ in range(60)]

@@ -39,12 +39,12 @@ from txnflow.workspace import job_scope, materialize, release
 
 #: Buckets of the frequency table: 2^18 counts, 2 MB at the driver and in each task.
 BUCKET_BITS = 18
-#: 64-bit words of a set's bit sketch.
-SKETCH_WORDS = 8
+#: Bits of a set's sketch, powers of two: as many as it has n-grams, within these bounds. Beyond the upper one sketches rule out less and families grow.
+SKETCH_BITS = (1 << 9, 1 << 14)
 #: Sets sharing an n-gram that meet in one task; beyond it they are put into one family unseen.
 RARE = 1024
-#: Of these, compared with all others at once.
-TILE = 128
+#: 64-bit words of sketches compared at once.
+TILE_WORDS = 1 << 21
 #: A bucket with more than so many times the mean count, and ``SALTED`` besides, is spread by a salt.
 STANDS_OUT, SALTED = 4, 1 << 20
 #: Sets of a family that a task joins at once, and their n-grams.
@@ -94,8 +94,21 @@ def in_order(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _sketch(grams: np.ndarray) -> np.ndarray:
     """Bits flipped by each n-gram: sets differ in at least as many n-grams as their sketches in bits."""
-    bits = np.bincount((mixed(grams ^ np.uint64(0x5BD1E995)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(bool))
+    least, most = SKETCH_BITS
+    bits = min(most, max(least, 1 << (len(grams) - 1).bit_length())) if len(grams) else least
+    flipped = np.bincount((mixed(grams ^ np.uint64(0x5BD1E995)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flipped.astype(bool))
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of at least ``width`` bytes brought to it; an n-gram's bit is its hash modulo the length, so the parts of a longer one add up."""
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    widths = np.array([len(s) for s in sketches])
+    for own in np.unique(widths):
+        some = np.flatnonzero(widths == own)
+        parts = np.frombuffer(b"".join(sketches[k] for k in some), np.uint64).reshape(len(some), own // width, width // 8)
+        out[some] = np.bitwise_xor.reduce(parts, axis=1)
+    return out
 
 
 def _signature(grams: np.ndarray) -> bytes:
@@ -137,17 +150,26 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
     return np.array([_find(parent, i) for i in range(n)])
 
 
-def _alike(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _alike(ids: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the sets of one n-gram that sizes and sketches allow, as a forest."""
     order = np.argsort(ids, kind="stable")
-    ids, size, sketch = ids[order], size[order], sketch[order]
-    near = np.empty((len(ids), len(ids)), bool)
-    for k in range(0, len(ids), TILE):
-        own = size[k:k + TILE, None]
-        both = own + size
-        common = (both - np.bitwise_count(sketch[k:k + TILE, None] ^ sketch).sum(2, dtype=np.int64)) // 2
-        near[k:k + TILE] = (100 * np.minimum(own, size) >= percent * np.maximum(own, size)) & (100 * common >= percent * (both - common))
-    np.fill_diagonal(near, True)
+    ids, size, sketches = ids[order], size[order], [sketches[k] for k in order]
+    near = np.eye(len(ids), dtype=bool)
+    widths = np.array([len(s) for s in sketches])
+    for width in np.unique(widths):
+        # Sets with a sketch of this width meet those with a longer one too, each pair at the shorter width.
+        here, others = np.flatnonzero(widths == width), np.flatnonzero(widths >= width)
+        folded = _folded([sketches[k] for k in others], width)
+        step = max(1, TILE_WORDS // folded.size)
+        for k in range(0, len(here), step):
+            tile = here[k:k + step]
+            own, other = size[tile, None], size[others]
+            both = own + other
+            apart = np.bitwise_count(folded[np.searchsorted(others, tile), None] ^ folded).sum(2, dtype=np.int64)
+            common = (both - apart) // 2
+            found = (100 * np.minimum(own, other) >= percent * np.maximum(own, other)) & (100 * common >= percent * (both - common))
+            near[np.ix_(tile, others)] |= found
+            near[np.ix_(others, tile)] |= found.T
     roots, before = np.arange(len(ids)), None
     while before is None or (roots != before).any():
         before = roots
@@ -158,16 +180,26 @@ def _alike(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int)
 
 
 def _sketched_links(percent: int):
-    """Over rows of lists (docs, sizes, sketches), one for each n-gram."""
+    """Over rows (list, doc_id, size, sketch) sorted by list."""
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        of, ids, sizes = (rows.column(k).to_numpy() for k in range(3))
+        sketches = rows.column(3).to_pylist()
+        cuts = [*np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)]
+        found = [_alike(ids[s:e], sizes[s:e], sketches[s:e], percent) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, ROWS) for whole in stream for k in range(0, whole.num_rows, ROWS)):
-            ids, sizes, sketches = (batch.column(k) for k in range(3))
-            flat_ids, flat_sizes = ids.flatten().to_numpy(), sizes.flatten().to_numpy()
-            flat = np.frombuffer(b"".join(sketches.flatten().to_pylist()), np.uint64).reshape(len(flat_ids), -1)
-            ends = np.cumsum(ids.value_lengths().to_numpy())
-            found = [_alike(flat_ids[s:e], flat_sizes[s:e], flat[s:e], percent) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-            u, v = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        rows = None  # those of the list that may go on in the next batch
+        for batch in (whole.slice(k, 4 * ROWS) for whole in stream for k in range(0, whole.num_rows, 4 * ROWS)):
+            rows = pa.Table.from_batches([batch] if rows is None else [*rows.to_batches(), batch])
+            of = rows.column(0).to_numpy()
+            last = int(np.searchsorted(of, of[-1]))
+            if last:
+                yield compared(rows.slice(0, last))
+            rows = rows.slice(last)
+        if rows is not None:
+            yield compared(rows)
 
     return batches
 
@@ -255,8 +287,8 @@ def families(sets: DataFrame, percent: int, counts: np.ndarray, rare: int = RARE
     # n-grams held by the very same sets say the same; one of them is enough.
     lists = materialize(runs.where("not unseen").select("docs").distinct().select(F.monotonically_increasing_id().alias("list"), "docs"), "lists")
     listed = lists.select("list", F.explode("docs").alias("doc_id"))
-    members = listed.join(sets.select("doc_id", "size", "sketch"), "doc_id")
-    tasks = members.groupBy("list").agg(F.collect_list(F.struct("doc_id", "size", "sketch")).alias("x")).select("x.doc_id", "x.size", "x.sketch")
+    members = listed.join(sets.select("doc_id", "size", "sketch"), "doc_id").select("list", "doc_id", "size", "sketch")
+    tasks = members.repartition("list").sortWithinPartitions("list")
     near = materialize(frequent.union(tasks.mapInArrow(_sketched_links(percent), "u bigint, v bigint")), "near")
     release(runs, lists)
     found = connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
