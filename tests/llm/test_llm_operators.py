@@ -91,6 +91,26 @@ def test_added_kinds_need_a_cue_and_hold():
         ("login", "joe:x"), ("account", "GB82 WEST 1234 5698 7654 32"), ("account", "12345678")]
 
 
+def test_cues_and_secrets_in_any_case():
+    text = ("Passport No. X1234567, iBaN GB82WEST12345698765432; TOKEN = \"9233A8EC0b17fd52\" api_key: 'Zx81-qW90_aaBB77cc' Password=hunter2pw. "
+            "é Secret = aaaaaaaaaaaaaaa1, token = abcdefghijklmnopqrst, the token of 1234567890abcdef, tokens=9233A8EC0b17fd52, password: short1")
+    assert [(k, text[s:e]) for k, s, e in pii.find_spans(text)] == [
+        ("account", "X1234567"), ("account", "GB82WEST12345698765432"),
+        ("secret", "9233A8EC0b17fd52"), ("secret", "Zx81-qW90_aaBB77cc"), ("secret", "hunter2pw")]
+
+
+@pytest.mark.parametrize("folder", ["sf0.01"])
+def test_planted_secrets_are_found_and_nothing_else(spark, sf_dir, folder):
+    docs = spark.read.parquet(f"{sf_dir}/../{folder}/documents.parquet")
+    planted = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    there = found = other = 0
+    for row in pii.scan(docs, keep=("doc_id", "text")).select("row.text", "spans").collect():
+        places = {m.span(1) for m in planted.finditer(row.text or "")}
+        spans = {tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("secret")}
+        there, found, other = there + len(places), found + len(places & spans), other + len(spans - places)
+    assert there > 0 and found >= 0.9 * there and other == 0
+
+
 def test_redaction_keeps_columns(edges, edge_rows, doubled):
     done = pii.redact(edges)
     assert done.columns == edges.columns

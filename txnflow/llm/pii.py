@@ -7,12 +7,16 @@ address, an IP address, a card, phone or account number, and validate it. Nothin
 Base kinds equal the leftmost non-overlapping matches of these patterns, failing ones dropped without a retry:
 email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip four dot-separated numbers of at most 255; card 13 to 19
 digits, single spaces or hyphens between, passing Luhn; phone ``\\+[0-9][ ().0-9-]+[0-9]`` of 9 to 15 digits. The method
-adds two kinds that need a cue before them: ``login`` (the user information of a URL) and ``account`` (an
-identifier after a cue such as ``iban`` or ``account number``, an IBAN only if its check digits hold).
+adds kinds that need a cue before them, in any case: ``login`` (the user information of a URL), ``account`` (an
+identifier after a cue such as ``iban`` or ``account number``, an IBAN only if its check digits hold) and ``secret`` (what a
+token, key, secret or password is set to by ``=`` or ``:``, if it has letters and digits, 16 characters of at least 3 bits each, or
+8 after a cue for passwords).
 A missing or empty text has no spans. Spans are in code points, the end exclusive; kinds may overlap each other.
 """
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -22,23 +26,28 @@ from pyspark.sql import functions as F
 from txnflow.llm.rows import map_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "login", "account")
+KINDS = (*BASE_KINDS, "login", "account", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIALLED = re.compile(r"[ ().0-9-]+")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&*+,;=-]+(?::[^\s@/?#]*)?(?=@[A-Za-z0-9])")
-_AFTER_CUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|id|#))?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]+)*)")
+_AFTER_CUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|id|#))?[ \t]*[:=#]?[ \t]*([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]+)*)",
+                        re.IGNORECASE | re.ASCII)
+_ASSIGNED = re.compile(r"[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?([A-Za-z0-9+/_.~=-]{8,})")
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 _CUES = ("iban", "account", "acct", "ssn", "passport", "konto", "cuenta", "compte")
-_MARKS = {"@": "at", "+": "plus"} | dict.fromkeys("0123456789", "digit") | dict.fromkeys(_SCHEMES, "scheme") | dict.fromkeys(_CUES, "cue")
+_PASSWORDS = ("password", "passwd", "pwd", "passphrase")
+_SECRETS = ("token", "secret", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "accesskey", "private key", "private_key",
+            "secret key", "secret_key", *_PASSWORDS)
+_MARKS = {"@": "at", "+": "plus"} | dict.fromkeys("0123456789", "digit") | dict.fromkeys(_SCHEMES, "scheme") | dict.fromkeys(_CUES, "cue") | dict.fromkeys(_SECRETS, "secret")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _built() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for text, kind in _MARKS.items():
-        for form in {text, text.upper(), text.capitalize()}:
-            automaton.add_word(form, (kind, len(form)))
+        automaton.add_word(text, (kind, len(text)))
     automaton.make_automaton()
     return automaton
 
@@ -151,17 +160,38 @@ def _accounts(text: str, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int
             yield s, hit
 
 
+def _bits(text: str) -> float:
+    """Entropy of a character."""
+    return sum(n / len(text) * math.log2(len(text) / n) for n in Counter(text).values())
+
+
+def _secrets(text: str, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    end = 0
+    for start, after in cues:
+        if start < end or (start and text[start - 1].isalnum()) or not (found := _ASSIGNED.match(text, after)):
+            continue
+        s, e = found.span(1)
+        while e > s and text[e - 1] in ".=-":  # the end of a sentence, or padding
+            e -= 1
+        value = text[s:e]
+        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+            continue
+        if len(value) >= 16 and _bits(value) >= 3 or len(value) >= 8 and text[start:after].translate(_LOWER) in _PASSWORDS:
+            end = e
+            yield s, e
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind in the order of KINDS, then start."""
-    at: dict[str, list] = {"at": [], "plus": [], "digit": [], "scheme": [], "cue": []}
-    for last, (kind, length) in _ANCHORS.iter(text) if text else ():
+    at: dict[str, list] = {"at": [], "plus": [], "digit": [], "scheme": [], "cue": [], "secret": []}
+    for last, (kind, length) in _ANCHORS.iter(text.lower() if text.isascii() else text.translate(_LOWER)) if text else ():
         at[kind].append((last - length + 1, last + 1))
     first = lambda kind: [s for s, _ in at[kind]]
     numbers = _number_runs(first("digit"))
     found = {
         "email": _emails(text, first("at")), "ip": _addresses(text, numbers), "card": _cards(text, numbers),
         "phone": _phones(text, first("plus")), "login": _logins(text, sorted({e for _, e in at["scheme"]})),
-        "account": _accounts(text, sorted(at["cue"])),
+        "account": _accounts(text, sorted(at["cue"])), "secret": _secrets(text, sorted(at["secret"])),
     }
     return [(kind, s, e) for kind in KINDS for s, e in found[kind]]
 
