@@ -1,6 +1,7 @@
 """The registered queries, the pipeline and its stages."""
 
 import re
+
 import brute
 import duckdb
 import pytest
