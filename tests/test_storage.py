@@ -15,7 +15,7 @@ from txnflow.sinks import keyed
 from txnflow.sinks.replay import MESSAGE_FIELDS, publish, replay_messages
 from txnflow.sinks.tables import save_routes, save_routes_apart, save_table
 from txnflow.sources.json_schema import infer_json_schema
-from txnflow.sources.tables import load_table, read_csv, read_csv_infer, rows_to_df
+from txnflow.sources.tables import BAD_LINE, load_table, read_csv, read_csv_infer, read_csv_marked, rejects, rows_to_df
 from txnflow.sources.topics import dump_topic, read_topic
 
 TS = datetime.datetime
@@ -37,6 +37,31 @@ def test_csv_binds_by_position_and_keeps_bad_rows(spark, tmp_path):
     assert read_csv_infer(spark, str(path)).dtypes == [("a", "string"), ("b", "int"), ("c", "string")]
 
 
+def test_bad_lines_have_reasons(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("a,b,c\n1,2,x\nq,2,y\n3,w,\n4\n5,6,z,more\n,,\n")
+    marked = read_csv_marked(spark, str(tmp_path / "in.csv"), "a int, b double, c string")
+    found = {r.line: (r.reason, r.a, r.b) for r in rejects(marked).collect()}
+    assert found == {"q,2,y": ("a", None, 2.0), "3,w,": ("b", 3, None), "4": ("cells", 4, None), "5,6,z,more": ("cells", 5, 6.0)}
+    # What is selected doesn't change which lines are bad.
+    assert [r.c for r in marked.select("c", F.col(BAD_LINE).isNotNull().alias("bad")).collect() if r.bad] == ["y", None, None, "z"]
+    assert [r.a for r in marked.where(F.col(BAD_LINE).isNull()).select("a").collect()] == [1, None]
+    assert marked.where(F.col(BAD_LINE).isNotNull()).count() == 4
+
+
+def test_import_puts_bad_lines_into_quarantine(spark, customers, make_transactions, as_of, tmp_path):
+    rows = make_transactions(dict(trans_num="t1"), dict(trans_num="t2", trans_date="2023-01-06T00:00:00.000Z"), dict(trans_num="t3"))
+    spoilt = rows.withColumn("amt", F.when(F.col("trans_num") == "t3", "q").otherwise(F.col("amt").cast("string")))
+    for df, name in ((spoilt, "transactions"), (customers, "customers")):
+        save_table(df, "csv", path=str(tmp_path / name), header=True)
+    counts = run_import(spark, str(tmp_path / "transactions"), str(tmp_path / "customers"), str(tmp_path / "out"), as_of,
+                        quarantine=str(tmp_path / "bad"))
+    assert (counts.routed, counts.unrouted, counts.rejected, counts.unknown_card, counts.bad_lines) == (2, 0, 0, 0, 1)
+    assert [(r.trans_num, r.reason) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("t3", "amt")]
+    assert {r.trans_num for r in spark.read.parquet(str(tmp_path / "out" / "transaction")).collect()} == {"t1", "t2"}
+    with pytest.raises(ValueError, match="quarantine"):
+        run_import(spark, "t", "c", "o", source=("parquet", {}), quarantine="q")
+
+
 def test_overwrite_replaces_and_append_adds(spark, tmp_path):
     path, rows = str(tmp_path / "t"), rows_to_df(spark, [(1, "a")], "n int, s string")
     for mode, count in [("overwrite", 1), ("append", 2), ("overwrite", 1)]:

@@ -15,7 +15,7 @@ from txnflow.sinks.keyed import create_keyed_table, read_keyed_table, upsert_key
 from txnflow.sinks.replay import publish, replay_messages
 from txnflow.sinks.tables import save_routes_apart, save_table
 from txnflow.sources.json_schema import infer_json_schema
-from txnflow.sources.tables import load_table, read_csv, read_csv_infer
+from txnflow.sources.tables import load_table, read_csv, read_csv_infer, read_csv_marked, rejects
 from txnflow.sources.topics import dump_topic
 from txnflow.workspace import scratch_path
 
@@ -43,6 +43,17 @@ def csv_scan_schema(spark, sf_dir):
     return read_csv(spark, _write_csv(raw_transactions(spark, sf_dir), "transactions-csv"), LABELLED_TRANSACTION)
 
 
+@query(with_parts("""
+select trans_num, case when trans_time = '07:00:00' then 'amt' else 'amt, is_fraud' end as reason
+from transactions where trans_time in ('06:00:00', '07:00:00')""", "transactions"))
+def csv_rejects(spark, sf_dir):
+    """Two of the hours have amounts that are no numbers, one also such labels."""
+    bad, worse = F.col("trans_time").isin("06:00:00", "07:00:00"), F.col("trans_time") == "06:00:00"
+    rows = raw_transactions(spark, sf_dir).withColumn("amt", F.when(bad, F.lit("n/a")).otherwise(F.col("amt").cast("string"))).withColumn(
+        "is_fraud", F.when(worse, F.lit("?")).otherwise(F.col("is_fraud").cast("string")))
+    return rejects(read_csv_marked(spark, _write_csv(rows, "transactions-csv"), LABELLED_TRANSACTION)).select("trans_num", "reason")
+
+
 @query(with_parts("select * from customers", "customers"))
 def csv_scan_customers(spark, sf_dir):
     rows = read_csv(spark, _write_csv(customers(spark, sf_dir), "customers-csv"), CUSTOMER)

@@ -12,7 +12,7 @@ from txnflow.operators.route import route_of
 from txnflow.operators.sizing import BROADCAST_LIMIT_BYTES
 from txnflow.schemas import CUSTOMER, CUSTOMER_KEY, LABELLED_TRANSACTION, TRANSACTION_KEY
 from txnflow.sinks.tables import save_routes, save_routes_apart, save_table
-from txnflow.sources.tables import load_table, read_csv
+from txnflow.sources.tables import BAD_LINE, load_table, read_csv, read_csv_marked, rejects
 from txnflow.workspace import job_scope, materialize
 
 
@@ -42,29 +42,40 @@ def import_transactions(transactions: DataFrame, customers: DataFrame, as_of=Non
 class ImportCounts:
     """Enriched rows: ``routed`` ones with a complete key, ``unrouted`` ones with a label other than 0 and 1,
     and ``rejected`` ones, which have no usable time and so no key. Only the first are stored. ``unknown_card``
-    counts rows whose card has no customer; those without a card aren't counted anywhere."""
+    counts rows whose card has no customer; those without a card aren't counted anywhere. ``bad_lines`` counts
+    transaction lines in quarantine."""
 
     routed: int
     unrouted: int
     rejected: int
     unknown_card: int
+    bad_lines: int = 0
 
 
 def run_import(spark: SparkSession, transactions_path: str, customers_path: str, output: str, as_of=None,
                time_type: str = "timestamp", source: tuple[str, dict] | None = None, target: str = "parquet",
-               targets: dict[str, dict] | None = None) -> ImportCounts:
+               targets: dict[str, dict] | None = None, quarantine: str | None = None) -> ImportCounts:
     """Raw tables to ``customer`` and ``transaction`` (partitioned by route) below ``output``.
 
     The input is CSV with a header, or with ``source`` any other (format, options) with the same columns. ``target`` is the format of
     what is written. A target without folders takes the options of its tables ``customer``, ``fraud`` and ``non_fraud`` from
-    ``targets``; the routes are then written apart.
+    ``targets``; the routes are then written apart. With ``quarantine``, a folder, transaction lines of a CSV with a bad cell are written
+    there with the reason, and nowhere else; without it such a cell is NULL.
     """
+    if quarantine and source is not None:
+        raise ValueError("only CSV input has lines to put into quarantine")
+    bad_lines = 0
     if source is None:
         customers, transactions = read_csv(spark, customers_path, CUSTOMER), read_csv(spark, transactions_path, LABELLED_TRANSACTION)
     else:
         fmt, options = source
         customers = load_table(spark, fmt, CUSTOMER, path=customers_path, **options)
         transactions = load_table(spark, fmt, LABELLED_TRANSACTION, path=transactions_path, **options)
+    if quarantine:
+        marked, bad = read_csv_marked(spark, transactions_path, LABELLED_TRANSACTION), Observation("quarantine")
+        save_table(rejects(marked).observe(bad, F.count(F.lit(1)).alias("n")), "parquet", path=quarantine)
+        bad_lines = bad.get["n"]
+        transactions = marked.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
     # Stored with one row per card, but joined as they are in the input.
     others = [c for c in customers.columns if c not in CUSTOMER_KEY]
     holders = latest_by_key(customers, CUSTOMER_KEY, others)
@@ -77,4 +88,4 @@ def run_import(spark: SparkSession, transactions_path: str, customers_path: str,
             save_routes_apart(materialize(rows, "imported"), targets, target)
     else:
         save_routes(rows, target, path=f"{output}/transaction")
-    return ImportCounts(**counts.get, unknown_card=cards.get["unknown_card"])
+    return ImportCounts(**counts.get, unknown_card=cards.get["unknown_card"], bad_lines=bad_lines)
