@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from txnflow import workspace
 from txnflow.operators.route import route_by_label
 from txnflow.plans.importing import run_import
 from txnflow.schemas import CUSTOMER, LABELLED_TRANSACTION, OFFSETS, POINT_MESSAGE, TRANSACTION
-from txnflow.sinks import keyed
+from txnflow.sinks import keyed, manifests, replay
 from txnflow.sinks.replay import MESSAGE_FIELDS, publish, replay_messages
 from txnflow.sinks.tables import save_routes, save_routes_apart, save_table
 from txnflow.sources.json_schema import infer_json_schema
@@ -107,16 +108,16 @@ def test_a_write_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
     rows = rows_to_df(spark, [(str(i), D1, "a", float(i)) for i in range(5)], KEYED)
     keyed.upsert_keyed_table(spark, path, rows)
     change = rows_to_df(spark, [("3", D1, "b", 99.0)], KEYED)
-    switch = keyed._switch
+    switch = keyed.put_manifest
 
     def lost(*_):
         raise RuntimeError("lost before the switch")
 
-    monkeypatch.setattr(keyed, "_switch", lost)
+    monkeypatch.setattr(keyed, "put_manifest", lost)
     with pytest.raises(RuntimeError, match="lost"):
         keyed.upsert_keyed_table(spark, path, change)
     assert len(stored_rows(spark, path)) == 5 and ("3", D1, "a", 3.0) in stored_rows(spark, path)
-    monkeypatch.setattr(keyed, "_switch", switch)
+    monkeypatch.setattr(keyed, "put_manifest", switch)
     keyed.upsert_keyed_table(spark, path, change)
     assert len(stored_rows(spark, path)) == 5 and ("3", D1, "b", 99.0) in stored_rows(spark, path)
     # Of two writers that began from the same state the second is told so.
@@ -142,11 +143,57 @@ def test_a_writer_that_died_in_its_switch_blocks_nobody_for_long(spark, tmp_path
     later = rows_to_df(spark, [("2", D1, "b", 2.0)], KEYED)
     with pytest.raises(RuntimeError, match="another writer"):
         keyed.upsert_keyed_table(spark, path, later)
-    monkeypatch.setattr(keyed, "DEAD_SECONDS", -1)
+    monkeypatch.setattr(manifests, "DEAD_SECONDS", -1)
     keyed.upsert_keyed_table(spark, path, later)
     assert stored_rows(spark, path) == {("1", D1, "a", 1.0), ("2", D1, "b", 2.0)}
 
 
+def files_read(df):
+    """Files that the scan of ``df`` is planned to open."""
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.selectedPartitions().totalNumberOfFiles()
+
+
+def test_one_card_reads_the_files_of_its_shard(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    rows = [(str(i % 40), TS(2023, 1 + i % 3, 1, i % 24, i % 60), f"t{i:03}", float(i)) for i in range(600)]
+    # One card has a third of all rows.
+    rows += [("7", TS(2023, 1 + i % 3, 2, i % 24, i % 60), f"u{i:03}", float(i)) for i in range(300)]
+    keyed.create_keyed_table(rows_to_df(spark, rows, KEYED), path, shards=8)
+    whole = keyed.read_keyed_table(spark, path, KEYED)
+    assert whole.columns == ["cc_num", "trans_time", "trans_num", "amt"]
+    for card in ("7", "12", "none"):
+        one = keyed.read_keyed_table(spark, path, KEYED, card=card)
+        assert one.columns == whole.columns and sorted(one.collect()) == sorted(whole.where(F.col("cc_num") == card).collect())
+        assert files_read(one) <= 3 < 20 < files_read(whole)
+    january = keyed.read_keyed_table(spark, path, KEYED, ["2023-01"], card="7")
+    assert files_read(january) == 1 and january.count() == whole.where("cc_num = '7' and month(trans_time) = 1").count()
+    # Later writes keep the shards, whatever they ask for, and replace rows of equal key.
+    keyed.upsert_keyed_table(spark, path, rows_to_df(spark, [("7", TS(2023, 1, 2, 0, 0), "z", -1.0), ("7", TS(2024, 5, 1), "y", -2.0)], KEYED))
+    again = keyed.read_keyed_table(spark, path, KEYED, card="7")
+    assert sorted(r["trans_num"] for r in again.where("amt < 0").collect()) == ["y", "z"] and files_read(again) == 4
+    assert keyed.read_keyed_table(spark, path, KEYED).count() == whole.count() + 1
+
+
+def test_paced_replay(spark, make_transactions, tmp_path):
+    """Seven rows, three a batch and one batch a second; killed in the second batch and begun again."""
+    rows = make_transactions(*[dict(trans_num=f"t{i}", cc_num=str(i % 2), is_fraud=1.0) for i in range(7)], dict(trans_num="t9"))
+    waiting = replay.replay_rows(rows, ["trans_num"])
+    out, cp, begun = str(tmp_path / "out"), str(tmp_path / "cp"), time.monotonic()
+    send = lambda **options: replay.start_replay(
+        waiting, cp, 3, "1 second", "2024-01-01 00:00:00", 6, fmt="parquet", path=out, **options)
+    with pytest.raises(Exception, match="mode|Mode"):
+        send(compression="mode that is none").awaitTermination()
+    spark.streams.resetTerminated()
+    replay.await_replay(send(), waiting, 3)
+    assert time.monotonic() - begun >= 2 and not spark.streams.active
+    sent = {(r["batch_id"], r["key"], *(json.loads(r["value"])[c] for c in ("trans_num", "trans_time"))) for r in spark.read.parquet(out).collect()}
+    assert sent == {(i // 3, str(i % 2), f"t{i}", f"2024-01-01 00:00:{i // 3 * 6:02}") for i in range(7)}
+    empty = replay.replay_rows(rows.where("is_fraud = 7"), ["trans_num"])
+    replay.await_replay(replay.start_replay(empty, str(tmp_path / "cp2"), 3, fmt="parquet", path=str(tmp_path / "none")), empty, 3)
+    assert not (tmp_path / "none").exists() and not spark.streams.active
+
+
 def test_offsets_only_grow(spark, tmp_path):
     path = str(tmp_path / "offsets")
     for rows in ([(0, 5), (1, 7)], [(0, 3), (2, 1)], [(1, 9)]):

@@ -10,7 +10,7 @@ from txnflow.checks.registry import AS_OF, query, with_enriched, with_parts
 from txnflow.checks.relational import FRACTION_SQL, enriched as derived
 from txnflow.checks.tables import TIME, customers, transaction_messages
 from txnflow.operators.features import FeatureModel, fit_features, frequency_index
-from txnflow.operators.forest import load_model, save_model, score, train_forest as fit_forest
+from txnflow.operators.forest import load_model, save_model, score, train_forest as fit_forest, use_model
 from txnflow.operators.metrics import weighted_f1
 from txnflow.operators.route import union_tables
 from txnflow.operators.split import hash_split
@@ -212,6 +212,31 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
+@query(with_enriched("""
+select count(*) as n, cast(0 as bigint) as differing, true as newer_in_force, true as older_again from enriched"""))
+def model_retrained(spark, sf_dir):
+    """All rows scored by a model that was loaded before another one was saved to its path: how many, how many come out different
+    from the scores before, and whether the newer model, then the older one again, is loaded."""
+    rows, path = enriched(spark, sf_dir), scratch_path(spark, "model")
+    older, newer = (_small(rows, n) for n in (3, 2))
+    first = save_model(*older, path)
+    held = load_model(spark, path)
+    save_model(*newer, path)
+    trees = load_model(spark, path)[1].getNumTrees
+    use_model(spark, path, first)
+    again = load_model(spark, path)[1].getNumTrees
+    both = score(score(rows, *older, "before"), *held, "after")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("differing"),
+        F.lit(trees == 2).alias("newer_in_force"), F.lit(again == 3).alias("older_again"))
+
+
+def _small(rows, trees):
+    """A forest of few trees on unbalanced rows."""
+    features = fit_features(rows, ["category", "distance", "amt", "age"], CODED, handle_invalid="skip")
+    return features, fit_forest(features.transform(rows), label_col=LABEL, numTrees=trees, maxDepth=3)
+
+
 @query(with_parts(f""", {TRAIN_SQL}
 select count(*) filter (where is_fraud = 1) as train_fraud, count(*) filter (where is_fraud = 0) as train_non_fraud,
   true as metric_holds from train""", "customers", "transactions", "enriched"))

@@ -12,7 +12,7 @@ from txnflow.operators.route import route_by_label, union_tables
 from txnflow.plans.importing import run_import
 from txnflow.schemas import CUSTOMER, FRAUD, LABELLED_TRANSACTION, NON_FRAUD
 from txnflow.sinks.keyed import create_keyed_table, read_keyed_table, upsert_keyed_table
-from txnflow.sinks.replay import publish, replay_messages
+from txnflow.sinks.replay import await_replay, publish, replay_messages, replay_rows, start_replay
 from txnflow.sinks.tables import save_routes_apart, save_table
 from txnflow.sources.json_schema import infer_json_schema
 from txnflow.sources.tables import load_table, read_csv, read_csv_infer, read_csv_marked, rejects
@@ -125,6 +125,21 @@ def replay_json(spark, sf_dir):
     return replay_messages(rows, 10, "2024-01-01 00:00:00", ["trans_num", "amt"])
 
 
+@query(with_parts("""
+select cc_num as key, trans_num, cast(number // 100 as integer) as batch_id,
+  strftime(timestamp '2024-01-01 00:00:00' + to_seconds(number // 100 * 6), '%Y-%m-%d %H:%M:%S') as trans_time
+from (select cc_num, trans_num, row_number() over (order by trans_num) - 1 as number
+      from transactions join (select cc_num from customers) using (cc_num) where is_fraud = 1)""", "customers", "transactions"))
+def replay_paced(spark, sf_dir):
+    """All fraud rows sent in batches of 100, each stamped 6 seconds after the one before; what each batch has sent."""
+    rows, path = replay_rows(raw_transactions(spark, sf_dir)), scratch_path(spark, "topic")
+    clock = start_replay(rows, scratch_path(spark, "checkpoint"), 100, "0 seconds", "2024-01-01 00:00:00", 6, fmt="parquet", path=path)
+    await_replay(clock, rows, 100)
+    sent = spark.read.schema("key string, value string, batch_id int").option("basePath", path).parquet(path)
+    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    return sent.select("key", field("trans_num"), "batch_id", field("trans_time"))
+
+
 @query(with_enriched(IMPORTED_SQL))
 def import_from_csv(spark, sf_dir):
     """The import job from CSV files to stored tables."""
@@ -161,6 +176,20 @@ def keyed_table_upsert(spark, sf_dir):
     return read_keyed_table(spark, path, rows.schema)
 
 
+@query(with_enriched("""
+select cc_num, trans_time, trans_num, category, merchant, amt, merch_lat, merch_long, distance, age, is_fraud
+from (
+  select *, row_number() over (partition by cc_num, trans_time order by trans_num desc, amt desc) as key_rank
+  from enriched)
+where key_rank = 1 and cc_num = (select min(cast(o_custkey as varchar)) from orders)"""))
+def keyed_read_card(spark, sf_dir):
+    """One card's rows from a keyed table whose months are dealt by card."""
+    path, rows = scratch_path(spark, "keyed"), enriched(spark, sf_dir)
+    create_keyed_table(rows, path, shards=4)
+    card = rows.agg(F.min("cc_num")).first()[0]
+    return read_keyed_table(spark, path, rows.schema, card=card)
+
+
 @query(with_enriched("select cc_num, trans_time, trans_num, amt from enriched order by 1, 2 desc, 3 desc, 4 desc"))
 def clustered_history(spark, sf_dir):
     """The history of every card from a stored table laid out by card."""
