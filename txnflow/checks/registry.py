@@ -20,21 +20,40 @@ customers as (
     c_mktsegment as job, cast(date '1940-01-01' + cast(c_custkey * 31 % 22000 as int) as timestamp) as dob
   from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
 
-TRANSACTIONS_SQL = """
-transactions as (
-  select cast(o_custkey as varchar) as cc_num,
+# Columns of a transaction by the table they come from, beside those of the line item.
+_LINE_COLUMNS = """
     concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as trans_num,
-    concat(cast(cast(o_orderdate as date) as varchar), 'T00:00:00.000Z') as trans_date,
     concat(lpad(cast(l_linenumber as varchar), 2, '0'), ':00:00') as trans_time,
-    cast(concat(cast(cast(o_orderdate as date) as varchar), ' ',
-      lpad(cast(l_linenumber as varchar), 2, '0'), ':00:00') as timestamp) as ts,
-    p_type as category, s_name as merchant, l_extendedprice as amt,
+    l_extendedprice as amt,
     25 + (l_suppkey * 6007 % 24000) / cast(1000 as double) as merch_lat,
     -124 + (l_suppkey * 50021 % 57000) / cast(1000 as double) as merch_long,
     case when (l_orderkey * 7 + l_linenumber * 13) % 200 = 0 then cast(1 as double) else cast(0 as double) end
-      as is_fraud
-  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
-    join supplier on l_suppkey = s_suppkey)"""
+      as is_fraud"""
+_JOINED_COLUMNS = {
+    "orders": """
+    cast(o_custkey as varchar) as cc_num,
+    concat(cast(cast(o_orderdate as date) as varchar), 'T00:00:00.000Z') as trans_date,
+    cast(concat(cast(cast(o_orderdate as date) as varchar), ' ',
+      lpad(cast(l_linenumber as varchar), 2, '0'), ':00:00') as timestamp) as ts""",
+    "part": """
+    p_type as category""",
+    "supplier": """
+    s_name as merchant""",
+}
+_JOINS = {"orders": "l_orderkey = o_orderkey", "part": "l_partkey = p_partkey", "supplier": "l_suppkey = s_suppkey"}
+
+
+def transactions_sql(*tables: str) -> str:
+    """Transactions from the line items and the named tables only, with the columns that these provide."""
+    columns = ",".join([_LINE_COLUMNS, *(_JOINED_COLUMNS[t] for t in tables)])
+    joins = "".join(f" join {t} on {_JOINS[t]}" for t in tables)
+    return f"""
+transactions as (
+  select{columns}
+  from lineitem{joins})"""
+
+
+TRANSACTIONS_SQL = transactions_sql(*_JOINS)
 
 
 def distance_sql(lat1: str, long1: str, lat2: str, long2: str, angle: str = "radians") -> str:
@@ -63,8 +82,9 @@ def with_parts(sql: str, *parts: str) -> str:
     return "with " + ",".join(_PARTS[p] for p in parts) + "\n" + sql if parts else sql
 
 
-def with_transactions(sql: str) -> str:
-    return with_parts(sql, "transactions")
+def with_transactions(sql: str, tables=tuple(_JOINS)) -> str:
+    """``sql`` after the transactions over the line items and ``tables``, by default all."""
+    return f"with {transactions_sql(*tables)}\n{sql}"
 
 
 def with_enriched(sql: str) -> str:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from txnflow.checks.registry import (
-    AS_OF, distance_sql, query, with_enriched, with_parts, with_transactions,
+    AS_OF, CUSTOMERS_SQL, distance_sql, query, with_enriched, with_parts, with_transactions,
 )
 from txnflow.checks.tables import (
     TIME, customers, event_messages, table, timed_transactions, transactions,
@@ -53,7 +53,7 @@ def table_scan(spark, sf_dir):
 @query(with_transactions("""
 select route, count(*) as n, round(sum(amt), 2) as total from transactions
 join (values (cast(1 as double), 'fraud'), (cast(0 as double), 'non_fraud')) as names(is_fraud, route) using (is_fraud)
-group by route"""))
+group by route""", ()))
 def inline_relation(spark, sf_dir):
     """Two rows given by the caller, joined with all transactions."""
     names = rows_to_df(spark, [(1.0, "fraud"), (0.0, "non_fraud")], "is_fraud double, route string")
@@ -79,7 +79,7 @@ def json_flatten(spark, sf_dir):
 
 
 @query(with_transactions("""
-select cc_num, trans_num, trans_date, category, amt from transactions where is_fraud = 1"""))
+select cc_num, trans_num, trans_date, category, amt from transactions where is_fraud = 1""", ("orders", "part")))
 def filter_label(spark, sf_dir):
     columns = ["cc_num", "trans_num", "trans_date", "category", "amt", LABEL]
     return route.with_label(transactions(spark, sf_dir, columns), 1).drop(LABEL)
@@ -87,20 +87,20 @@ def filter_label(spark, sf_dir):
 
 @query(with_transactions("""
 select trans_num, is_fraud, case when is_fraud = 1 then 'fraud' else 'non_fraud' end as route
-from transactions where is_fraud in (0, 1)"""))
+from transactions where is_fraud in (0, 1)""", ()))
 def route_by_label(spark, sf_dir):
     return route.route_by_label(transactions(spark, sf_dir, ["trans_num", LABEL]))
 
 
 # --- scalar functions ---
 
-@query(with_transactions("select trans_num, split_part(trans_date, 'T', 1) as trans_date from transactions"))
+@query(with_transactions("select trans_num, split_part(trans_date, 'T', 1) as trans_date from transactions", ("orders",)))
 def date_prefix(spark, sf_dir):
     rows = transactions(spark, sf_dir, ["trans_num", "trans_date"])
     return rows.withColumn("trans_date", date_part("trans_date"))
 
 
-@query(with_transactions("select trans_num, split_part(trans_date, 'T', 1) as trans_date, ts as trans_time from transactions"))
+@query(with_transactions("select trans_num, split_part(trans_date, 'T', 1) as trans_date, ts as trans_time from transactions", ("orders",)))
 def normalize_time(spark, sf_dir):
     return full_times(transactions(spark, sf_dir, ["trans_num", "trans_date", "trans_time"]), TIME)
 
@@ -121,9 +121,9 @@ def _distances(spark, sf_dir, variant):
 
 
 def _distances_sql(angle):
-    return with_parts(
-        f"select trans_num, round({distance_sql('lat', 'long', 'merch_lat', 'merch_long', angle)}, 6) as km "
-        "from transactions join customers using (cc_num)", "customers", "transactions")
+    return with_transactions(
+        f",{CUSTOMERS_SQL} select trans_num, round({distance_sql('lat', 'long', 'merch_lat', 'merch_long', angle)}, 6) as km "
+        "from transactions join customers using (cc_num)", ("orders",))
 
 
 @query(_distances_sql("radians"))
@@ -140,7 +140,7 @@ def haversine_degrees(spark, sf_dir):
 @query(with_transactions("""
 select trans_num, try_cast(cast(amt as varchar) as double) as amt, try_cast(category as double) as merch_lat,
   try_cast(concat(' ', cast(merch_long as varchar)) as double) as merch_long
-from transactions"""))
+from transactions""", ("part",)))
 def cast_numeric(spark, sf_dir):
     """Text to double; ``merch_lat`` holds words here, so all of it becomes NULL."""
     rows = transactions(spark, sf_dir, ["trans_num", "amt", "category", "merch_long"]).select(
@@ -165,12 +165,12 @@ def enrich_shuffled(spark, sf_dir):
 
 # --- aggregates ---
 
-@query(with_transactions("select is_fraud, count(*) as n from transactions group by is_fraud"))
+@query(with_transactions("select is_fraud, count(*) as n from transactions group by is_fraud", ()))
 def count_by_label(spark, sf_dir):
     return metrics.count_by_label(transactions(spark, sf_dir, [LABEL]))
 
 
-@query(with_transactions("select round(sum(amt), 2) as total from transactions"))
+@query(with_transactions("select round(sum(amt), 2) as total from transactions", ()))
 def sum_amount(spark, sf_dir):
     return metrics.sum_amount(transactions(spark, sf_dir, ["amt"])).select(F.round("total", 2).alias("total"))
 
@@ -188,7 +188,7 @@ classes as (
     union all
     select prediction, 0, 1, 0 from predicted)
   group by class)
-select round(sum(2 * hits / cast(actual + predicted as double) * actual) / sum(actual), 12) as weighted_f1 from classes"""))
+select round(sum(2 * hits / cast(actual + predicted as double) * actual) / sum(actual), 12) as weighted_f1 from classes""", ()))
 def weighted_f1(spark, sf_dir):
     rows = transactions(spark, sf_dir, ["trans_num", LABEL])
     guess = F.when(key_fraction("trans_num") < 0.1, 1.0).otherwise(0.0)
@@ -222,7 +222,7 @@ def top_k_latest(spark, sf_dir):
     return history.newest(events, 5, ties=["event_id"])
 
 
-@query(with_transactions("select cc_num, ts as trans_time, trans_num, amt from transactions order by 1, 2 desc, 3 desc, 4 desc"))
+@query(with_transactions("select cc_num, ts as trans_time, trans_num, amt from transactions order by 1, 2 desc, 3 desc, 4 desc", ("orders",)))
 def card_history(spark, sf_dir):
     rows = transactions(spark, sf_dir, ["cc_num", "ts", "trans_num", "amt"]).withColumnRenamed("ts", "trans_time")
     return history.card_history(rows, ties=["trans_num", "amt"])
@@ -230,7 +230,7 @@ def card_history(spark, sf_dir):
 
 # --- set operations and splits ---
 
-@query(with_transactions("select cc_num, trans_num, trans_date, amt, is_fraud from transactions where is_fraud in (0, 1)"))
+@query(with_transactions("select cc_num, trans_num, trans_date, amt, is_fraud from transactions where is_fraud in (0, 1)", ("orders",)))
 def union_tables(spark, sf_dir):
     rows = transactions(spark, sf_dir, ["cc_num", "trans_num", "trans_date", "amt", LABEL])
     return route.union_tables(route.with_label(rows, 1), route.with_label(rows, 0))
@@ -240,7 +240,7 @@ def union_tables(spark, sf_dir):
 select trans_num, amt, cast(1 as double) as label from transactions where is_fraud = 1
 union all
 select concat(cc_num, '/', category) as trans_num, round(avg(amt), 6) as amt, cast(0 as double) as label
-from transactions where is_fraud = 0 group by cc_num, category"""))
+from transactions where is_fraud = 0 group by cc_num, category""", ("orders", "part")))
 def label_union(spark, sf_dir):
     """Fraud rows and averages standing in for cluster centres, with their labels."""
     rows = transactions(spark, sf_dir, ["cc_num", "trans_num", "category", "amt", LABEL])
@@ -251,7 +251,7 @@ def label_union(spark, sf_dir):
 
 
 @query(with_transactions(f"""
-select trans_num, amt, is_fraud, case when {FRACTION_SQL} < 0.7 then 'train' else 'test' end as side from transactions"""))
+select trans_num, amt, is_fraud, case when {FRACTION_SQL} < 0.7 then 'train' else 'test' end as side from transactions""", ()))
 def hash_split(spark, sf_dir):
     train, test = split.hash_split(transactions(spark, sf_dir, ["trans_num", "amt", LABEL]))
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))

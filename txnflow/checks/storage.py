@@ -17,7 +17,7 @@ from txnflow.sinks.tables import save_routes_apart, save_table
 from txnflow.sources.json_schema import infer_json_schema
 from txnflow.sources.tables import load_table, read_csv, read_csv_infer, read_csv_marked, rejects
 from txnflow.sources.topics import dump_topic
-from txnflow.workspace import scratch_path
+from txnflow.workspace import exists, job_scope, materialize, path_of, scratch_path
 
 
 def raw_transactions(spark, sf_dir):
@@ -197,3 +197,15 @@ def clustered_history(spark, sf_dir):
     save_table(cluster_by_card(enriched(spark, sf_dir)), path=path)
     stored = load_table(spark, path=path).select("cc_num", "trans_time", "trans_num", "amt")
     return card_history(stored, ties=["trans_num", "amt"])
+
+
+@query(with_enriched("""
+select category, count(*) as n, round(sum(amt), 2) as total, cast(1 as bigint) as tables_left from enriched group by category"""))
+def scoped_tables(spark, sf_dir):
+    """Totals of a stored table that a scope removes, kept beyond it, and how many of its three stored tables are left."""
+    with job_scope(spark) as scope:
+        rows = materialize(enriched(spark, sf_dir), "scoped")
+        label = materialize(rows.groupBy("category", "is_fraud").agg(F.count(F.lit(1)).alias("n"), F.sum("amt").alias("total")), "scoped")
+        kept = scope.keep(label.groupBy("category").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total")), "scoped")
+    left = sum(exists(spark, path_of(df)) for df in (rows, label, kept))
+    return kept.withColumn("tables_left", F.lit(left).cast("bigint"))

@@ -59,6 +59,11 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
@@ -105,6 +110,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return _store(df, name, _scope.get())
 
 
+def path_of(stored: DataFrame) -> str | None:
+    """Where a table that :func:`materialize` or ``keep`` returned is, or was; None for any other, or a released one."""
+    return _stored_at.get(stored)
+
+
 def release(*stored: DataFrame) -> None:
     """Remove tables that :func:`materialize` returned, once their last reader has been stored or counted.
 
