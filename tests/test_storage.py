@@ -194,6 +194,19 @@ def test_paced_replay(spark, make_transactions, tmp_path):
     assert not (tmp_path / "none").exists() and not spark.streams.active
 
 
+def test_batches_without_time_between_them_go_out_together(spark, make_transactions, tmp_path):
+    """300 batches of two rows in one trigger, each in its folder and with its stamp; a trigger that is repeated replaces them."""
+    rows = make_transactions(*[dict(trans_num=f"t{i:04}", is_fraud=1.0) for i in range(600)])
+    waiting, out = replay.replay_rows(rows, ["trans_num"]), str(tmp_path / "out")
+    for checkpoint in ("cp1", "cp2"):
+        query = replay.start_replay(waiting, str(tmp_path / checkpoint), 2, "0 seconds", "2024-01-01 00:00:00", 6, fmt="parquet", path=out)
+        replay.await_replay(query, waiting, 2)
+        assert query.recentProgress[0]["sources"][0]["numInputRows"] >= 600
+        sent = sorted((r["batch_id"], *(json.loads(r["value"])[c] for c in ("trans_num", "trans_time"))) for r in spark.read.parquet(out).collect())
+        stamp = lambda batch: str(TS(2024, 1, 1) + datetime.timedelta(seconds=6 * batch))
+        assert sent == [(i // 2, f"t{i:04}", stamp(i // 2)) for i in range(600)]
+
+
 def test_offsets_only_grow(spark, tmp_path):
     path = str(tmp_path / "offsets")
     for rows in ([(0, 5), (1, 7)], [(0, 3), (2, 1)], [(1, 9)]):
