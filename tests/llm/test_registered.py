@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from txnflow.llm import language_id, tokens
+from txnflow.llm import language_id, rows, tokens
 from txnflow.llm.queries import ORACLES, QUERIES
 
 
@@ -73,3 +73,21 @@ def test_pipeline_equals_plain_stages(spark, sf_dir):
             clean[i] = t
     assert {p["doc_id"] for p in found} == set(clean)
     assert brute.check_packing(list(clean.items()), found, Tokenizer.from_file(tokens.WORD_BPE)) == 0
+
+
+def test_a_kept_text_travels_once(spark):
+    """A text that is among the kept columns isn't sent beside them as well."""
+    docs = spark.createDataFrame([(i, None if i == 700 else f"text {i}", "x") for i in range(1300)], "doc_id int, text string, lang string").repartition(2)
+
+    def made(texts):
+        yield None, {"n": [-1 if t is None else len(t) for t in texts]}
+        yield [0], {"n": [-2]}
+
+    for keep in (["doc_id"], ["doc_id", "text", "lang"], ["text"]):
+        found = rows.map_texts(docs, "text", made, {"n": "bigint"}, iter(keep))
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert (" AS text" in plan) == ("text" not in keep)
+        got = found.where("n > -2").select("row.*", "n").collect()
+        assert len(got) == 1300 and sum(r["n"] for r in got) == sum(len(f"text {i}") for i in range(1300) if i != 700) - 1
+        if "text" in keep:
+            assert all(r["n"] == (-1 if r["text"] is None else len(r["text"])) for r in got)

@@ -25,12 +25,18 @@ def map_texts(df: DataFrame, text: str, made: Callable[[list[str | None]], Itera
     row of the batch each value belongs to, None that there is one for each row. Since the kept columns sit
     in a struct their names can't clash with those of the fields.
     """
-    source = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("text"))
+    keep = list(keep)
+    # A text that is kept travels in its row only, not beside it once more.
+    beside = [] if text in keep else [F.col(f"`{text}`").alias("text")]
+    source = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *beside)
     schema = f"row {source.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in fields.items())
 
+    beside_row = bool(beside)
+
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, ROWS) for whole in stream for k in range(0, whole.num_rows, ROWS)):
-            row, texts = batch.column(0), batch.column(1).to_pylist()
+            row = batch.column(0)
+            texts = (batch.column(1) if beside_row else row.field(keep.index(text))).to_pylist()
             for positions, values in made(texts):
                 kept = row if positions is None else row.take(pa.array(positions, pa.int64()))
                 arrays = [pa.array(values[k], _TYPES[v]) for k, v in fields.items()]
