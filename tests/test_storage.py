@@ -127,6 +127,22 @@ def test_a_write_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
         switch(spark, path, before[0] + 1, before[1])
 
 
+def test_a_new_keyed_table_is_written_once(spark, tmp_path, monkeypatch):
+    """No copy of the rows is stored before the version, and its periods are those that rows were written for."""
+    def refuse(df, name):
+        raise AssertionError(f"{name} stored on the way")
+
+    rows = [(str(i % 3), TS(2023, 1 + i % 4, 1 + i // 4), f"t{i}", float(i)) for i in range(40)] + [("1", None, "no time", 0.0), (None, TS(2024, 1, 1), "no card", 0.0)]
+    monkeypatch.setattr(keyed, "materialize", refuse)
+    for granularity, shards, expected in (("month", 0, 4), ("month", 2, 4), ("day", 0, 40), ("year", 0, 1)):
+        path = str(tmp_path / f"{granularity}{shards}")
+        keyed.create_keyed_table(rows_to_df(spark, rows, KEYED), path, granularity=granularity, shards=shards)
+        assert len(keyed._manifest(spark, path)[1]["periods"]) == expected
+        assert sorted(r["trans_num"] for r in keyed.read_keyed_table(spark, path, KEYED).collect()) == sorted(f"t{i}" for i in range(40))
+    keyed.create_keyed_table(rows_to_df(spark, rows[-1:], KEYED), str(tmp_path / "none"))
+    assert keyed.read_keyed_table(spark, str(tmp_path / "none"), KEYED).isEmpty()
+
+
 def test_periods_are_months_unless_told(spark, tmp_path):
     path = str(tmp_path / "keyed")
     keyed.upsert_keyed_table(spark, path, rows_to_df(spark, [("1", D1, "a", 1.0), ("1", D3, "b", 2.0), ("1", TS(2023, 2, 1), "c", 3.0)], KEYED))
