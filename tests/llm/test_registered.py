@@ -1,6 +1,7 @@
 """The registered queries, the pipeline and its stages."""
 
 import re
+import tracemalloc
 
 import brute
 import duckdb
@@ -91,3 +92,14 @@ def test_a_kept_text_travels_once(spark):
         assert len(got) == 1300 and sum(r["n"] for r in got) == sum(len(f"text {i}") for i in range(1300) if i != 700) - 1
         if "text" in keep:
             assert all(r["n"] == (-1 if r["text"] is None else len(r["text"])) for r in got)
+
+
+def test_the_letter_tables_are_made_without_a_list_of_all_characters():
+    """Each worker makes them as its first task begins; a list of all characters took some 80 MB in every one."""
+    tracemalloc.start()
+    letter, lower = language_id._letters.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    assert len(letter) == len(lower) == 0x110000 and letter.dtype == bool and lower.dtype == "uint32"
+    assert all(letter[ord(c)] == c.isalpha() and chr(lower[ord(c)]) == (c.lower() if len(c.lower()) == 1 else c) for c in "aZ1 İßΣ漢🎉")

@@ -31,9 +31,10 @@ _BITS = 21
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point whether it is a letter, and its lower case where that is one character."""
-    points = [chr(i) for i in range(0x110000)]
-    return (np.fromiter((c.isalpha() for c in points), bool, len(points)),
-            np.fromiter((ord(s) if len(s := c.lower()) == 1 else i for i, c in enumerate(points)), np.uint32, len(points)))
+    # Character by character: a list of all of them would take each worker ten times what the two arrays do.
+    every = range(0x110000)
+    return (np.fromiter((chr(i).isalpha() for i in every), bool, len(every)),
+            np.fromiter((ord(s) if len(s := chr(i).lower()) == 1 else i for i in every), np.uint32, len(every)))
 
 
 def grams(text: str | None) -> np.ndarray:
