@@ -280,6 +280,32 @@ def test_tables_that_stopped_at_different_batches_meet_again(spark, customers, t
         assert sorted(r["n"] for r in stored.where("mark = 1").collect()) == expected and stored.count() == 4
 
 
+def test_messages_that_both_tables_have_seen_are_not_stored_again(spark, tmp_path, monkeypatch):
+    """A stream that lost its checkpoint reads its topic anew; of its first batch only what is new to a table is stored on the way."""
+    fields = "topic string, partition int, offset bigint, cc_num string, trans_time timestamp, trans_num string, amt double, is_fraud double"
+    path, tables, stored, keep = str(tmp_path / "topic"), str(tmp_path / "keyed"), [], keyed.materialize
+
+    def counted(df, name):
+        kept = keep(df, name)
+        stored.append((name, kept.count()))
+        return kept
+
+    def run(offsets, checkpoint):
+        rows = [("t", i % 2, i if i < 99 else None, str(i), datetime.datetime(2023, 1 + i % 3, 1), f"t{i}", 1.0, float(i % 2)) for i in offsets]
+        rows_to_df(spark, rows, fields).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(fields).parquet(path)
+        keyed.start_keyed(stream, tables, str(tmp_path / checkpoint), **ONCE).awaitTermination()
+
+    monkeypatch.setattr(keyed, "materialize", counted)
+    run(range(20), "first")
+    run([*range(20, 25), 99], "second")
+    assert stored == [("batch", 20), ("batch", 6)]
+    found = [r.trans_num for name in ("fraud", "non_fraud")
+             for r in read_keyed_table(spark, f"{tables}/{name}", "cc_num string, trans_time timestamp, trans_num string, amt double").collect()]
+    assert sorted(found) == sorted(f"t{i}" for i in [*range(25), 99])
+    assert keyed.stored_offsets(spark, tables) == {"t": {"0": 24, "1": 23}}
+
+
 def test_released_holders_are_gone(spark, customers):
     with CardHolders(customers) as holders:
         assert holders.rows.count() == 2
