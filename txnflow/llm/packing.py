@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from txnflow.llm.rows import ROWS
 from txnflow.llm.tokens import WORD_BPE, shared
 
 TIERS = (512, 1024, 2048, 4096)
@@ -182,7 +183,8 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = END_ID, tiers
         for batch in stream:
             kind = batch.column(0).type
             column, windows = batch.column(0), []
-            for k, found in enumerate(encoder.encode(batch.column(1).to_pylist())):
+            texts = (t for at in range(0, batch.num_rows, ROWS) for t in batch.column(1).slice(at, ROWS).to_pylist())
+            for k, found in enumerate(encoder.encode(texts)):
                 ids[number] = np.append(found, np.uint32(end_id))
                 keys[number], open_tokens[number] = column[k].as_py(), len(ids[number])
                 waiting += len(ids[number])
