@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnflow import workspace
+from txnflow.checks import storage
 from txnflow.operators.route import route_by_label
 from txnflow.plans.importing import run_import
 from txnflow.schemas import CUSTOMER, LABELLED_TRANSACTION, OFFSETS, POINT_MESSAGE, TRANSACTION
@@ -351,3 +352,24 @@ def test_jobs_leave_the_shared_folder_empty(spark, customers, make_transactions,
     targets = {t: {"path": str(tmp_path / "apart" / t)} for t in ("customer", "fraud", "non_fraud")}
     run_import(spark, str(tmp_path / "transactions"), str(tmp_path / "customers"), "", as_of, source=("orc", {}), targets=targets)
     assert not list(shared.iterdir())
+
+
+def test_the_upsert_query_derives_its_rows_once(spark, tmp_path, monkeypatch):
+    """Rows of a later write win over stored ones; rows of neither part, and repeated ones, are kept out."""
+    seen = spark.sparkContext.accumulator(0)
+    schema = "cc_num string, trans_time timestamp, trans_num string, category string, amt double"
+    day = [datetime.datetime(2023, 1, d) for d in range(1, 5)]
+    rows = [("1", day[0], "9", "STANDARD", 1.0), ("1", day[0], "1", "ECONOMY", 2.0), ("1", day[0], "2", "ECONOMY", 3.0), ("1", day[1], "3", "STANDARD", 4.0),
+            ("1", day[1], "4", "STANDARD", 5.0), ("1", day[1], "4", "STANDARD", 5.0), ("2", day[2], "5", None, 6.0), (None, day[3], "6", "PROMO", 7.0),
+            (None, day[3], "5", "ECONOMY", 8.0)]
+
+    def counted(key):
+        seen.add(1)
+        return key
+
+    derived = spark.createDataFrame(rows, schema).withColumn("trans_num", F.udf(counted, "string").asNondeterministic()("trans_num"))
+    monkeypatch.setattr(storage, "enriched", lambda *_: derived)
+    found = storage.keyed_upsert(spark, str(tmp_path)).collect()
+    assert sorted((r.cc_num or "", r.trans_num, r.amt) for r in found) == [("", "5", 8.0), ("1", "2", 3.0), ("1", "4", 5.0)]
+    assert found[0].__fields__ == [c.split()[0] for c in schema.split(", ")]
+    assert seen.value == len(rows)
