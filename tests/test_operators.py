@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from txnflow.operators import history, keyed, metrics, route, split
+from txnflow.operators import history, keyed, metrics, route, sizing, split
 from txnflow.operators.enrich import enrich
 from txnflow.operators.sizing import broadcast_if_small, measured_bytes
 from txnflow.functions.times import normalize_time
@@ -180,3 +180,15 @@ def test_unions_match_columns_by_name(spark):
     b = spark.createDataFrame([(3, 4)], "y int, x int")
     assert {tuple(r) for r in route.union_tables(a, b).collect()} == {(1, 2), (4, 3)}
     assert {tuple(r) for r in route.label_union(a, b).collect()} == {(1, 2, 1.0), (4, 3, 0.0)}
+
+
+def test_shuffled_holders_are_hashed_where_they_fit(customers, make_transactions, as_of, monkeypatch):
+    """Then transactions aren't sorted for the join; holders too many for that are joined by sorting, with the same rows."""
+    raw = make_transactions({}, {"cc_num": "2"}, {"cc_num": "9"}, {"cc_num": None})
+    found = []
+    for limit in (sizing.HASH_LIMIT_BYTES, 0):
+        monkeypatch.setattr(sizing, "HASH_LIMIT_BYTES", limit)
+        joined = enrich(normalize_time(raw), customers, as_of, broadcast_limit=0)
+        assert ("strategy=shuffle_hash" in plan_of(joined)) == bool(limit)
+        found.append(sorted(map(str, joined.collect())))
+    assert found[0] == found[1] and len(found[0]) == 2
