@@ -373,3 +373,25 @@ def test_the_upsert_query_derives_its_rows_once(spark, tmp_path, monkeypatch):
     assert sorted((r.cc_num or "", r.trans_num, r.amt) for r in found) == [("", "5", 8.0), ("1", "2", 3.0), ("1", "4", 5.0)]
     assert found[0].__fields__ == [c.split()[0] for c in schema.split(", ")]
     assert seen.value == len(rows)
+
+
+def test_keyed_writes_move_their_rows_once(spark, tmp_path, monkeypatch):
+    """What is written into a keyed table, new or not, passes one shuffle, by period and piece; order columns beside the table's aren't stored."""
+    plans, save = [], keyed.save_table
+
+    def saved(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        save(df, *args, **kwargs)
+
+    monkeypatch.setattr(keyed, "save_table", saved)
+    path = str(tmp_path / "keyed")
+    rows = [(str(i % 7), TS(2023, 1 + i % 4, 1 + i // 28), f"t{i:03}", float(i)) for i in range(200)]
+    keyed.create_keyed_table(rows_to_df(spark, rows, KEYED), path)
+    newer = rows_to_df(spark, [(*r[:2], "n", r[3]) for r in rows[::9]] + [("9", TS(2023, 2, 2), "x", 0.0)], KEYED)
+    expected = {(r[0], r[1]): r for r in rows} | {(r[0], r[1]): (*r[:2], "n", r[3]) for r in rows[::9]} | {("9", TS(2023, 2, 2)): ("9", TS(2023, 2, 2), "x", 0.0)}
+    keyed.upsert_keyed_table(spark, path, newer.withColumn("batch_id", F.lit(1)), order=["batch_id", "trans_num", "amt"], beside=["batch_id"])
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1] and not any("Rebalance" in p.title() for p in plans)
+    assert stored_rows(spark, path) == set(expected.values())
+    for file in tmp_path.glob("keyed/version=*/month=*/*.parquet"):
+        cards = [(r.cc_num, r.trans_time) for r in spark.read.parquet(str(file)).collect()]
+        assert cards == sorted(cards)
